@@ -1,0 +1,193 @@
+"""N-gram Jaccard self-join by a MinHash LSH forest.
+
+A document's set of word 5-grams gets `trees` * `depth` minimum hashes; each tree is the trie of one run of `depth` of
+them, held as rows sorted by prefix. The matched prefix is shortened from the full depth until a pair at the
+threshold meets in some tree with the target recall. Documents that share a prefix are compared by their whole
+signatures; those that may reach the threshold (a margin of several standard errors below it) are grouped, and all
+pairs of a group are verified exactly on their 5-gram sets.
+
+Documents with equal sets are one row with a count until the end. Comparisons run in blocks (blocks.links): no
+group meets in one task and no pair is emitted.
+
+Words are the lower-cased text's runs of characters outside [\\x20\\x09-\\x0D] and other Unicode space; 5-grams are compared by 64-bit hashes
+of their bytes. Defined cases: a text of one to four words has its whole word sequence as single shingle; null, empty and
+blank texts and null ids link with nothing; rows repeating an id and text count as copies; an empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import blocks as B
+from . import common as C
+
+_RNG = np.random.default_rng(2024)
+_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    np.multiply.accumulate(np.full(n - 1, base, np.uint64), out=out[1:])
+    return out
+
+
+_INVERSE = np.uint64(pow(int(_STEP), -1, 1 << 64))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+def shingles(text: str | None, n: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word n-grams."""
+    words = text.lower().split() if text else []
+    if not words:
+        return np.zeros(0, np.uint64)
+    raw = np.frombuffer((" ".join(words) + " ").encode("utf-8", "surrogatepass"), np.uint8)
+    ends = np.flatnonzero(raw == 32)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    m = max(1, len(words) - n + 1)
+    first, last = starts[:m], ends[min(n, len(words)) - 1 :][:m]
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * _powers(int(_STEP), len(raw)), out=total[1:])
+    return np.unique(mixed((total[last] - total[first]) * _powers(int(_INVERSE), len(raw))[first]))
+
+
+def prefix_length(trees: int, depth: int, threshold: float, recall: float) -> int:
+    """The longest prefix at which a pair at the threshold shares one in some tree with the target recall."""
+    for k in range(depth, 0, -1):
+        if 1 - (1 - threshold**k) ** trees >= recall:
+            return k
+    raise ValueError("more trees are needed for this recall")
+
+
+def signature(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """For every factor the smallest of hashes * factor (upper 32 bits)."""
+    out = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 2048):
+        part = hashes[at : at + 2048]
+        for i in range(0, len(factors), 16):
+            f = factors[i : i + 16]
+            out[i : i + 16] = np.minimum(out[i : i + 16], (part[None, :] * f[:, None]).min(axis=1))
+    return (out >> np.uint64(32)).astype(np.uint32)
+
+
+def sketches(docs: DataFrame, trees: int, depth: int, prefix: int, n: int) -> DataFrame:
+    """docs: id, text. id, set_a and set_b (128 bits that stand for the set), size, sig (16 bits of each minimum), keys (of each tree's prefix)."""
+    factors = np.random.default_rng(7).integers(0, 1 << 63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for i, text in zip(batch["id"], batch["text"], strict=True):
+                h = shingles(text, n)
+                if not len(h):
+                    continue
+                s = signature(h, factors)
+                key = np.zeros(trees, np.uint64)
+                for k in range(prefix):
+                    key = mixed(key * _STEP + s.reshape(trees, depth)[:, k])
+                key = mixed(key + np.arange(trees, dtype=np.uint64))
+                both = (int(h.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(mixed(h + _STEP))))
+                a, b = np.array(both, np.uint64).astype(np.int64)
+                rows.append((i, a, b, len(h), s.astype(np.uint16).tobytes(), key.astype(np.int64).tolist()))
+            yield pd.DataFrame(rows, columns=["id", "set_a", "set_b", "size", "sig", "keys"])
+
+    return docs.mapInPandas(sketch, "id long, set_a long, set_b long, size int, sig binary, keys array<long>")
+
+
+def alike(least: int):
+    """Pairs of signatures that agree in so many places."""
+
+    def check(held: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        def matrix(at: np.ndarray) -> np.ndarray:
+            return np.frombuffer(b"".join(held["sig"][at]), np.uint16).reshape(len(at), -1)
+
+        a, b = matrix(left), matrix(right)
+        out = np.stack([(row[None, :] == b).sum(axis=1) >= least for row in a])
+        return out & (held["id"][left][:, None] != held["id"][right][None, :])
+
+    return check
+
+
+def exact(numerator: int, denominator: int):
+    """Pairs of sets with intersection / union of at least numerator / denominator, counted exactly."""
+
+    def check(held: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        parts = [np.frombuffer(held["grams"][i], np.uint64) for i in np.concatenate([left, right])]
+        size = np.array([len(p) for p in parts])
+        owner = np.repeat(np.arange(len(parts)), size)
+        values, code, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        shared = count[code] > 1  # what one document alone has adds to no intersection
+        order = np.argsort(code[shared], kind="stable")
+        code, owner = code[shared][order], owner[shared][order]
+        code = np.unique(code, return_inverse=True)[1]
+        both = np.zeros((len(left), len(right)))
+        width = max(256, (1 << 22) // len(parts))
+        for at in range(0, int(code[-1]) + 1 if len(code) else 0, width):
+            low, high = np.searchsorted(code, [at, at + width])
+            table = np.zeros((len(parts), width), np.float32)
+            table[owner[low:high], code[low:high] - at] = 1
+            both += table[: len(left)] @ table[len(left) :].T
+        union = size[: len(left), None] + size[None, len(left) :] - both
+        return (both * denominator >= union * numerator) & (held["id"][left][:, None] != held["id"][right][None, :])
+
+    return check
+
+
+def link(docs: DataFrame, threshold: tuple[int, int] = (4, 5), n: int = 5, trees: int = 16, depth: int = 6, recall: float = 0.999, margin: float = 0.17, chunk: int = 256, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, class_id (smallest doc_id of its equal sets), n_links, component_id, kept."""
+    bound = threshold[0] / threshold[1]
+    ids = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    known = ids.where("id is not null and text is not null")
+    rows = C.staged(sketches(known, trees, depth, prefix_length(trees, depth, bound, recall), n), "shingle-sketches")
+    classes = rows.groupBy("set_a", "set_b", "size").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+    classes = C.staged(classes, "shingle-classes")
+    at = classes.select("id", F.explode("keys").alias("grp"))
+    shared = at.groupBy(F.col("grp").alias("g")).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    met = at.join(shared.hint("merge"), F.col("grp") == F.col("g")).select("id", "grp")
+    met = C.staged(met, "forest-meets")
+    with_signature = met.join(classes.select("id", "sig").hint("merge"), "id").withColumn("copies", F.lit(1).cast("long"))
+    maybe = B.links(with_signature, "grp", ["sig"], alike(int((bound - margin) * trees * depth)), chunk)
+    maybe = C.staged(maybe.select("id", "root").where("id <> root").distinct(), "forest-candidates")
+    groups = B.components(maybe, "id", "root")
+    members = groups.join(classes.select("id", "copies").hint("merge"), F.col("node") == F.col("id")).select("id", "copies", F.col("component").alias("grp"))
+    found = members.join(known.hint("merge"), "id")
+
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[["id", "copies", "grp"]].assign(grams=[shingles(t, n).tobytes() for t in batch["text"]])
+
+    sets = found.mapInPandas(grams, "id long, copies long, grp long, grams binary")
+    links = C.staged(B.links(sets, "grp", ["grams"], exact(*threshold), chunk), "shingle-links")
+    n_links = links.groupBy(F.col("id").alias("i")).agg(F.sum("n_links").alias("n_links"))
+    joined = B.components(links.select("id", "root").where("id <> root"), "id", "root")
+    reps = classes.select("set_a", "set_b", "size", "id", "copies").join(n_links.hint("merge"), F.col("id") == F.col("i"), "left").join(joined.hint("merge"), F.col("id") == F.col("node"), "left")
+    reps = C.staged(reps.select(F.col("set_a").alias("a"), F.col("set_b").alias("b"), F.col("size").alias("s"), F.col("id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "shingle-reps")
+    sketched = rows.select("id", "set_a", "set_b", "size")
+    own = sketched.join(reps.hint("merge"), (F.col("set_a") == F.col("a")) & (F.col("set_b") == F.col("b")) & (F.col("size") == F.col("s")))
+    linked = own.select(F.col("id").alias("doc_id"), "class_id", "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    alone = ids.where(F.col("id").isNull() | F.col("text").isNull() | (F.length(F.regexp_replace("text", r"(?U)[\s\x1c-\x1f]+", "")) == 0))
+    return linked.unionByName(alone.select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept")))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of docs that stay: of each linked group the one of the smallest doc_id; all columns.
+
+    Rows that repeat the id that stays are one row, the one with the smallest text.
+    """
+    verdict = C.staged(link(docs, key=key, text=text, **options), "near-verdicts")
+    goes = verdict.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    repeated = verdict.where("kept and n_links > 0").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id")
+    stays = docs.join(goes.hint("merge"), F.col(key) == F.col("__gone"), "left_anti")
+    marked = stays.join(repeated.hint("merge"), F.col(key) == F.col("__id"), "left")
+    once = marked.where("__id is not null").groupBy("__id").agg(F.min_by(F.struct(*docs.columns), F.col(text)).alias("__row")).select("__row.*")
+    return marked.where("__id is null").select(*docs.columns).unionByName(once)
