@@ -7,8 +7,10 @@ number of rows fitting in one task or on the driver.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,15 +43,25 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    read = df.sparkSession.read.schema(df.schema).parquet(path)
+    read.staged_at = path
+    return read
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes staged tables that no later step reads."""
+    for df in frames:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark's context cleaner drop shuffle files of finished phases before the next phase writes its own."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def text_bytes(text: Column) -> Column:
