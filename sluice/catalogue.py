@@ -1,4 +1,375 @@
 """All registered queries of the engine and their SQL oracles."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sluice.operators import batching, corpus, deident, metrics, ml, readside, significance
+from sluice.oracles import ORACLES  # noqa: F401
+from sluice.plans.predictions import CLASSIFIERS, EMBEDDINGS, KEYS, MODES, predictions
+from sluice.sources import files
+
+SEED = 42
+MODE_NAMES = [m for m, _, _ in MODES]
+EMB_NAMES = [e for e, _ in EMBEDDINGS]
+CONFIGS = [f"{e}__{c}" for e in EMB_NAMES for c, _ in CLASSIFIERS]
 QUERIES = {}
-ORACLES = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.detection_metrics(predictions(spark, sf_dir), KEYS)
+
+
+def one_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run whose curves are shown: pipeline 1, normal."""
+    return predictions(spark, sf_dir, 1, "normal")
+
+
+@query
+def detection_metrics(spark, sf_dir):
+    return results(spark, sf_dir)
+
+
+@query
+def best_configuration(spark, sf_dir):
+    return results(spark, sf_dir).orderBy(F.col("roc_auc").desc(), *KEYS).limit(1).select(*KEYS, "roc_auc", "accuracy")
+
+
+@query
+def top_k_preview(spark, sf_dir):
+    return results(spark, sf_dir).orderBy(F.col("roc_auc").desc(), *KEYS).limit(6).select(*KEYS, "roc_auc", "accuracy", "f1")
+
+
+@query
+def roc_curve(spark, sf_dir):
+    return metrics.roc_curve(one_run(spark, sf_dir), ["emb", "clf"])
+
+
+@query
+def pr_curve(spark, sf_dir):
+    return metrics.pr_curve(one_run(spark, sf_dir), ["emb", "clf"])
+
+
+@query
+def pr_auc_trapz(spark, sf_dir):
+    return metrics.area(metrics.pr_curve(one_run(spark, sf_dir), ["emb", "clf"]), ["emb", "clf"], "recall", "precision")
+
+
+@query
+def curve_downsample(spark, sf_dir):
+    return metrics.downsample(metrics.pr_curve(one_run(spark, sf_dir), ["emb", "clf"]), ["emb", "clf"])
+
+
+@query
+def score_histogram(spark, sf_dir):
+    return metrics.score_histogram(predictions(spark, sf_dir), KEYS)
+
+
+@query
+def breakdown_by_group(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("row_id"), F.when(F.col("event_type") != "click", F.col("event_type")).alias("category"))
+    return metrics.breakdown(predictions(spark, sf_dir).join(events, "row_id"), KEYS, "category")
+
+
+@query
+def mcnemar_within(spark, sf_dir):
+    return significance.within_run(predictions(spark, sf_dir), CONFIGS)
+
+
+@query
+def mcnemar_top3(spark, sf_dir):
+    tests = significance.within_run(one_run(spark, sf_dir), CONFIGS)
+    return tests.orderBy("p_holm", F.col("statistic").desc(), "a", "b_name").limit(3).select("a", "b_name", "b", "c", "p_holm")
+
+
+@query
+def ablation_mcnemar(spark, sf_dir):
+    return significance.across_modes(predictions(spark, sf_dir), MODE_NAMES)
+
+
+@query
+def mode_alignment(spark, sf_dir):
+    return significance.mode_alignment(predictions(spark, sf_dir), MODE_NAMES)
+
+
+@query
+def ablation_degradation(spark, sf_dir):
+    return significance.degradation(results(spark, sf_dir))
+
+
+@query
+def degradation_headline(spark, sf_dir):
+    return significance.headline(significance.degradation(results(spark, sf_dir)))
+
+
+@query
+def master_table(spark, sf_dir):
+    return readside.master_table(results(spark, sf_dir), significance.across_modes(predictions(spark, sf_dir), MODE_NAMES))
+
+
+@query
+def shortcut_flags(spark, sf_dir):
+    return readside.shortcut_flags(readside.master_table(results(spark, sf_dir)))
+
+
+@query
+def pipeline_verdict(spark, sf_dir):
+    return readside.pipeline_verdict(results(spark, sf_dir))
+
+
+@query
+def best_classifier(spark, sf_dir):
+    return readside.best_classifier(results(spark, sf_dir))
+
+
+@query
+def ablation_groups(spark, sf_dir):
+    return readside.ablation_groups(results(spark, sf_dir), MODE_NAMES)
+
+
+@query
+def metric_heatmap(spark, sf_dir):
+    return readside.metric_heatmap(results(spark, sf_dir), EMB_NAMES)
+
+
+@query
+def filtered_view(spark, sf_dir):
+    return readside.filtered_view(results(spark, sf_dir), [1, 2], ["normal", "context_only"], EMB_NAMES[:2], ["SVM", "XGBoost"])
+
+
+def docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents")
+
+
+@query
+def usable_documents(spark, sf_dir):
+    low, high = corpus.BOUNDS["cnn"]
+    return docs(spark, sf_dir).where(corpus.usable_length(F.col("text"), low, high)).select("doc_id", F.length("text").alias("n"))
+
+
+@query
+def prefix_truncation(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.md5(F.substring(corpus.stripped(F.col("text")), 1, corpus.PREFIX)).alias("prefix_md5"))
+
+
+@query
+def first_occurrence(spark, sf_dir):
+    return corpus.first_occurrence(docs(spark, sf_dir), "text", "doc_id").select("doc_id", "copy")
+
+
+@query
+def topup_pool(spark, sf_dir):
+    return corpus.topup(docs(spark, sf_dir), "text", "doc_id", 950).select("doc_id", "copy")
+
+
+@query
+def template_cycle(spark, sf_dir):
+    return corpus.template_cycle(docs(spark, sf_dir), "text", "doc_id").select("doc_id", "template")
+
+
+@query
+def attack_pool_strict(spark, sf_dir):
+    return corpus.strict_pools(corpus.attack_pool(table(spark, sf_dir, "benchmark"))).select("kind", "part", "category", "item_id")
+
+
+def assigned(spark, sf_dir):
+    rows = docs(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 3 == 0, "code").otherwise("text").alias("kind"), F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train").alias("part"), F.col("text").alias("original_context"))
+    return corpus.assign_attacks(rows, corpus.attack_pool(table(spark, sf_dir, "benchmark")), SEED)
+
+
+@query
+def attack_assignment(spark, sf_dir):
+    return assigned(spark, sf_dir).select("doc_id", "kind", "part", "attack_category", F.md5("attack_instruction").alias("instruction_md5"))
+
+
+@query
+def twin_build(spark, sf_dir):
+    rows = corpus.twins(assigned(spark, sf_dir), SEED)
+    return rows.select("doc_id", "label", "injection_position", "attack_category", F.length("context").alias("n"))
+
+
+@query
+def insert_start_end(spark, sf_dir):
+    rows = corpus.twins(assigned(spark, sf_dir), SEED).where("injection_position in ('start', 'end')")
+    return rows.select("doc_id", "injection_position", F.md5("context").alias("context_md5"))
+
+
+@query
+def insert_middle(spark, sf_dir):
+    rows = corpus.twins(assigned(spark, sf_dir), SEED).where("injection_position = 'middle'")
+    return rows.select("doc_id", F.md5("context").alias("context_md5"), F.length("context").alias("n"))
+
+
+@query
+def grouped_split(spark, sf_dir):
+    return corpus.text_split(docs(spark, sf_dir), "text", SEED).select("doc_id", "split")
+
+
+def labelled(spark, sf_dir):
+    return table(spark, sf_dir, "labels").where("toxic is not null")
+
+
+@query
+def stratified_split(spark, sf_dir):
+    return corpus.stratified_split(labelled(spark, sf_dir), "toxic", "doc_id", SEED).select("doc_id", "toxic", "split")
+
+
+@query
+def balance_pool(spark, sf_dir):
+    rows = labelled(spark, sf_dir).select("doc_id", (F.col("toxic") == 0).cast("int").alias("label"))
+    return corpus.balance(rows, "label", "doc_id", SEED)
+
+
+@query
+def label_stats(spark, sf_dir):
+    rows = docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return rows.groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("text").alias("n_texts"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("n_toxic"), F.round(F.avg("toxic"), 9).alias("toxic_share"))
+
+
+@query
+def split_overlap(spark, sf_dir):
+    return corpus.split_overlap(corpus.attack_pool(table(spark, sf_dir, "benchmark")))
+
+
+@query
+def flatten_table(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.array(F.lpad(F.col("n_nationkey").cast("string"), 3, "0"), F.col("n_name")))).alias("cells"))
+    return rows.select("n_regionkey", corpus.flatten_table(F.col("cells")).alias("flat"))
+
+
+@query
+def selected_passage(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("l"))
+    flags = F.transform("l", lambda x: (x["n_nationkey"] % 4 == 2).cast("int"))
+    return rows.select("n_regionkey", corpus.selected_passage(flags, F.col("l.n_name")).alias("passage"))
+
+
+@query
+def compose_mode_text(spark, sf_dir):
+    first = table(spark, sf_dir, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("intent"))
+    rows = docs(spark, sf_dir).join(first, F.col("doc_id") == F.col("conv_id"), "left")
+    return rows.select("doc_id", *[F.md5(corpus.compose(m, F.col("text"), F.col("intent"))).alias(m) for m in MODE_NAMES])
+
+
+@query
+def pii_audit(spark, sf_dir):
+    return deident.audit(docs(spark, sf_dir), "text")
+
+
+@query
+def pii_audit_checked(spark, sf_dir):
+    """The rows of the audit whose patterns are the same in every regular-expression dialect on these texts."""
+    return deident.audit(docs(spark, sf_dir), "text").where(F.col("label").isin("'intended recipient'", "'received in error'", "confidentiality wording", "'Forwarded by'", "attachment stub", "SSN-shaped"))
+
+
+@query
+def luhn_cards(spark, sf_dir):
+    hits = docs(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(\b(?:\d{4}[-\s]?){3}\d{4}\b)"))).alias("card"))
+    return hits.groupBy("doc_id").agg(F.count("*").alias("n_shaped"), F.sum(deident.luhn_ok(F.col("card")).cast("long")).alias("n_valid"))
+
+
+@query
+def scrub_documents(spark, sf_dir):
+    return deident.scrub(docs(spark, sf_dir), "doc_id", "text").select("doc_id", F.md5("scrubbed").alias("scrubbed_md5"), F.length("scrubbed").alias("n"))
+
+
+@query
+def placeholder_counts(spark, sf_dir):
+    return deident.placeholder_counts(deident.scrub(docs(spark, sf_dir), "doc_id", "text"), "scrubbed")
+
+
+@query
+def audit_report(spark, sf_dir):
+    rows = deident.scrub(docs(spark, sf_dir), "doc_id", "text").select("text", "scrubbed")
+    return deident.audit_report(deident.audit(rows, "text"), deident.audit(rows, "scrubbed"))
+
+
+@query
+def name_vocabulary(spark, sf_dir):
+    return deident.name_vocabulary(deident.detect(docs(spark, sf_dir), "doc_id", "text"), "text")
+
+
+@query
+def span_merge(spark, sf_dir):
+    start = (F.col("event_id") * 37 % 200).cast("int")
+    events = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), start.alias("start"), (start + 1 + (F.col("event_id") % 7).cast("int")).alias("end"), F.col("event_type").alias("kind"), ((F.col("event_id") % 5) / F.lit(10.0)).alias("score"), F.lit("rule").alias("source"))
+    return deident.merge_spans(events, ["user_id"]).select("user_id", "start", "end", "kind")
+
+
+@query
+def token_batches(spark, sf_dir):
+    rows = docs(spark, sf_dir).select((F.col("doc_id") % 8).alias("shard"), "doc_id", F.regexp_count("text", F.lit(r"\S+")).alias("tokens"))
+    return batching.token_batches(rows, "shard", "doc_id", "tokens", 5_000, 64)
+
+
+@query
+def rolling_token_budget(spark, sf_dir):
+    return batching.rolling_budget(table(spark, sf_dir, "events").withColumn("tokens", F.col("event_id") % 97), "user_id", "ts", "tokens", 3600).select("event_id", "spent")
+
+
+@query
+def latency_percentiles(spark, sf_dir):
+    return batching.latency_percentiles(table(spark, sf_dir, "events"), "event_type", "value")
+
+
+@query
+def reservoir_sample(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").withColumn("k", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    return corpus.sample_rows(rows, "k", SEED, 25).select("conv_id", "turn", "role")
+
+
+@query
+def log_state(spark, sf_dir):
+    step, phase = F.concat(F.lit('##step {"label": "'), F.col("event_type"), F.lit('"}')), F.concat(F.lit('50%|## ##progress {"phase": "p'), (F.col("event_id") % 7).cast("string"), F.lit('"}'))
+    lines = table(spark, sf_dir, "events").select(F.col("user_id").alias("job"), F.col("event_id").alias("line_no"), F.when(F.col("event_id") % 11 == 0, step).when(F.col("event_id") % 3 == 0, phase).otherwise("noise").alias("value"))
+    return files.log_state(lines)
+
+
+@query
+def pipeline_artifacts(spark, sf_dir):
+    """Expected against present artifacts of the grid, rolled up: configurations whose run has a result."""
+    grid = spark.createDataFrame([(p, m) for p in (1, 2, 3, 4) for m in MODE_NAMES], "pipeline int, mode string")
+    present = predictions(spark, sf_dir).select("pipeline", "mode").distinct().withColumn("here", F.lit(1))
+    both = grid.join(present, ["pipeline", "mode"], "left")
+    return both.rollup("pipeline", "mode").agg(F.count("*").alias("n_expected"), F.coalesce(F.sum("here"), F.lit(0)).alias("n_present"))
+
+
+def vectors(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), (F.col("label") % 2).cast("double").alias("label"), "embedding")
+    rows = ml.with_vector(rows, "embedding").drop("embedding")
+    return corpus.stratified_split(rows, "label", "row_id", SEED)
+
+
+def train_eval(name):
+    def run(spark, sf_dir):
+        rows = vectors(spark, sf_dir).cache()
+        model = ml.fit(rows.where("split = 'train'"), name)
+        scored = ml.scores(model, rows.where("split = 'test'")).withColumn("clf", F.lit(name))
+        return metrics.detection_metrics(scored, ["clf"])
+
+    return run
+
+
+for _name, _clf in (("train_eval_lr", "LogisticRegression"), ("train_eval_rf", "RandomForest"), ("train_eval_svc", "SVM"), ("train_eval_gbt", "XGBoost")):
+    QUERIES[_name] = train_eval(_clf)
+
+
+@query
+def pca_projection(spark, sf_dir):
+    return ml.pca_2d(vectors(spark, sf_dir))
+
+
+@query
+def hashed_embedding(spark, sf_dir):
+    rows = ml.hashed_embedding(docs(spark, sf_dir), "text")
+    return rows.select("doc_id", F.size("vec").alias("dim"), F.round(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)), 4).alias("norm"))
