@@ -67,8 +67,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     plan = (
         plan.withColumn("sum_w", F.sum("open_w").over(everything)).withColumn("min_w", F.min(open_weight).over(everything)).withColumn("n_open", F.count(open_weight).over(everything))
         .withColumn("per_shard", F.coalesce(F.greatest(F.lit(seats_per_shard), F.ceil(least_seats * F.col("sum_w") / F.col("min_w"))), F.lit(seats_per_shard)).cast("long"))
-        .withColumn("seats", F.col("per_shard") * shards)
-        .withColumn("block", F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("open_w") > 0, F.col("target")).otherwise(0.0)).over(everything) / F.col("seats"))).cast("long"))
+        .withColumn("open_words", F.sum(F.when(F.col("open_w") > 0, F.col("target")).otherwise(0.0)).over(everything))
+        .withColumn("block", F.greatest(F.lit(1), F.ceil(F.col("open_words") / (F.col("per_shard") * shards))).cast("long"))
+        # Whole blocks that the open words fill; fewer than planned where texts are short.
+        .withColumn("seats", F.round(F.col("open_words") / F.col("block")).cast("long"))
+        .withColumn("per_shard", F.greatest(F.lit(1), F.ceil(F.col("seats") / shards)).cast("long"))
         .withColumn("blocks", F.ceil(F.col("size") / F.col("block")).cast("long"))
     )
     plan = C.staged(plan, "mix-plan")

@@ -119,7 +119,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, longest:
             count: Counter[str] = Counter()
             for t in batch["text"]:
                 count.update(set(words(t)))
-            yield pd.DataFrame({"word": list(count), "n": list(count.values())})
+            if count:
+                yield pd.DataFrame({"word": list(count), "n": list(count.values())})
 
     frequent = counted.mapInPandas(in_documents, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_documents)
     vocabulary = {w: i for i, w in enumerate(sorted(frequent.select("word").toPandas()["word"]), 1)}

@@ -46,18 +46,19 @@ def keys(host: str, path: str, lengths: list[int]) -> Iterator[str]:
 class Bloom:
     bits: np.ndarray
     rounds: int
+    level: int = 0  #: seeds the hash: levels err independently
 
     @classmethod
-    def of(cls, listed: list[str], per_key: float) -> Bloom:
+    def of(cls, listed: list[str], per_key: float, level: int = 0) -> Bloom:
         size = max(64, int(per_key * len(listed)))
-        bloom = cls(np.zeros(-(-size // 8), np.uint8), max(1, round(per_key * 0.693)))
+        bloom = cls(np.zeros(-(-size // 8), np.uint8), max(1, round(per_key * 0.693)), level)
         for key in listed:
             for at in bloom.places(key):
                 bloom.bits[at >> 3] |= 1 << (at & 7)
         return bloom
 
     def places(self, key: str) -> list[int]:
-        h = xxhash.xxh128_intdigest(key.encode("utf-8", "surrogatepass"))
+        h = xxhash.xxh128_intdigest(key.encode("utf-8", "surrogatepass"), seed=self.level)
         a, b, n = h & (1 << 64) - 1, h >> 64 | 1, 8 * len(self.bits)
         return [((a + i * b) & (1 << 64) - 1) % n for i in range(self.rounds)]
 
@@ -89,7 +90,7 @@ def build(universe: DataFrame, listed: DataFrame, first_bits: float, bits: float
     cascade, side = Cascade(), own
     left = [own, None]
     while side and len(cascade.levels) < most_levels:
-        cascade.levels.append(Bloom.of(side, first_bits if len(cascade.levels) == 0 else bits))
+        cascade.levels.append(Bloom.of(side, bits if cascade.levels else first_bits, len(cascade.levels)))
         level = len(cascade.levels)
         if level % 2:  # it encodes listed keys: which others pass everything so far?
             if left[1] is None:
@@ -111,6 +112,8 @@ def build(universe: DataFrame, listed: DataFrame, first_bits: float, bits: float
         else:
             left[0] = [k for k in left[0] if k in cascade.levels[-1]]
             side = left[0]
+    if side:
+        raise ValueError("the cascade does not end: raise bits")
     return cascade
 
 
