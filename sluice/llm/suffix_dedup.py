@@ -136,19 +136,38 @@ def first_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
-def pointers(data: np.ndarray, length: int) -> np.ndarray:
-    """Bucket identifiers of the length-byte strings at all places of data: equal exactly where the strings are."""
-    n, depth = len(data) - 7, 8
-    packed = np.zeros(n, np.uint64)
-    for k in range(8):
-        packed |= data[k : k + n].astype(np.uint64) << np.uint64(8 * k)
-    pointer = np.unique(packed, return_inverse=True)[1].astype(np.int64)
+def pointers(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Bucket identifiers of the length-byte strings at the places `at` of data: equal exactly where the strings are.
+
+    Only places whose identifier a later round reads are sorted.
+    """
+    steps, depth = [], 8
     while depth < length:
-        step = min(depth, length - depth)
-        pair = pointer[:-step] * (int(pointer.max()) + 1) + pointer[step:]
-        pointer = np.unique(pair, return_inverse=True)[1].astype(np.int64)
-        depth += step
-    return pointer
+        steps.append(min(depth, length - depth))
+        depth += steps[-1]
+    needed = [np.zeros(len(data), bool)]
+    needed[0][at] = True
+    for step in reversed(steps):
+        wider = needed[0].copy()
+        wider[step:] |= needed[0][:-step]
+        needed.insert(0, wider)
+    place = np.flatnonzero(needed[0])
+    grams = np.ndarray((len(data) - 7,), np.uint64, data, strides=(1,))
+    pointer = np.zeros(len(data), np.int64)
+    pointer[place] = np.unique(grams[place], return_inverse=True)[1]
+    for step, mask in zip(steps, needed[1:], strict=True):
+        place = np.flatnonzero(mask)
+        pair = pointer[place] * (int(pointer.max()) + 1) + pointer[place + step]
+        pointer[place] = np.unique(pair, return_inverse=True)[1]
+    return pointer[at]
+
+
+def met(bucket: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which members are in a bucket of several documents."""
+    least, most = np.full(int(bucket.max()) + 1, NO_ID), np.full(int(bucket.max()) + 1, -NO_ID - 1)
+    np.minimum.at(least, bucket, doc)
+    np.maximum.at(most, bucket, doc)
+    return (least < most)[bucket]
 
 
 def spans(docs: DataFrame, length: int = 50, bucket_bytes: int = 6 << 20, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -265,7 +284,14 @@ def spans(docs: DataFrame, length: int = 50, bucket_bytes: int = 6 << 20, key: s
         begins = np.concatenate([[0], np.cumsum(count + length - 1)])[:-1]
         of = np.repeat(np.arange(len(count)), count)
         offset = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-        bucket = pointers(data, length)[begins[of] + offset]
+        # Windows whose first or last bytes one document alone has are finished.
+        for skip in (0, length - 8):
+            if len(of):
+                alive = met(pointers(data, begins[of] + offset + skip, 8), who[of, 0].astype(np.int64))
+                of, offset = of[alive], offset[alive]
+        if not len(of):
+            return messages(np.zeros(0, np.int64), 0)
+        bucket = pointers(data, begins[of] + offset, length)
         doc = who[:, 0].astype(np.int64)[of]
         least = np.full(int(bucket.max()) + 1, NO_ID)
         np.minimum.at(least, bucket, doc)
