@@ -1,3 +1,33 @@
-"""DuckDB SQL for the operators that SQL can express on whole tables."""
+"""DuckDB SQL for the operators that SQL can express on whole tables.
 
-ORACLES: dict[str, str] = {}
+The others need models, signatures, suffixes or dynamic programming, or (sharding, mixing) a CRC-32, which DuckDB lacks.
+"""
+
+from .queries import URL_RULES
+
+OP7 = f"""
+with rules(verdict, rule_host, rule_path) as (values {", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)}),
+p as (
+  select page_id,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path
+  from pages),
+fits as (
+  select p.page_id, p.host, p.path, rule_host || rule_path as rule, coalesce(verdict, 'allow') as verdict,
+    row_number() over (partition by p.page_id order by length(rule_host || rule_path) desc nulls last, length(rule_host) desc) as place
+  from p left join rules on (p.host = rule_host or ends_with(p.host, '.' || rule_host)) and starts_with(p.path, rule_path))
+select page_id, host, path, rule, verdict from fits where place = 1
+"""
+
+OP9 = r"""
+with d as (
+  select doc_id, length(coalesce(text, '')) as n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) as text_sha256
+  from documents),
+r as (
+  select doc_id, text_sha256, count(*) over (partition by text_sha256) as group_size,
+    first_value(doc_id) over best as keep_id, row_number() over best as place
+  from d window best as (partition by text_sha256 order by n desc, doc_id nulls last))
+select doc_id, keep_id, group_size, place = 1 as kept, text_sha256 from r
+"""
+
+ORACLES: dict[str, str] = {"op7_url_filter": OP7, "op9_exact_dedup": OP9}
