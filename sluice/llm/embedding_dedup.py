@@ -11,7 +11,8 @@ Equal vectors are one row with a count until the end. Pairs are checked in block
 all vectors spreads over all tasks, and no pair is emitted.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, null labels and null ids link with nothing;
-vectors of different length are not compared; rows repeating an id and vector count as copies of each other; an empty
+vectors of different length are not compared; lengths after the `most_indexes` most frequent have no index of their own: all
+vectors of such a length and label meet in one cell, which is exact; rows repeating an id and vector count as copies of each other; an empty
 table gives no rows; extra columns are ignored.
 """
 
@@ -100,7 +101,23 @@ class MultiIndex:
         return index
 
 
-def link(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.99, sample_rows: int = 8_192, per_cell: int = 64, most_codes: int = 256, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+def alike(threshold: float):
+    """Pairs of vectors with a cosine of at least the threshold; one of a pair has to be at home in the cell."""
+
+    def check(held: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        def matrix(at: np.ndarray) -> np.ndarray:
+            return np.frombuffer(b"".join(held["raw"][at]), dtype=np.float64).reshape(len(at), -1)
+
+        close = matrix(left) @ matrix(right).T >= threshold
+        (il, bl, sl), (ir, br, sr) = ((held["id"][at], held["base"][at], held["space"][at]) for at in (left, right))
+        # Every row visits; the larger id has to be at home here.
+        close &= np.where(il[:, None] < ir[None, :], br[None, :], bl[:, None]) & (il[:, None] != ir[None, :])
+        return close & (sl[:, None] == sr[None, :])
+
+    return check
+
+
+def link(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.99, sample_rows: int = 8_192, per_cell: int = 64, most_codes: int = 256, most_indexes: int = 64, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     v = F.col("v")
@@ -113,22 +130,31 @@ def link(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.99, samp
     rows = C.staged(rows.withColumn("good", F.coalesce(good, F.lit(False))).withColumn("digest", F.when(F.col("good"), digest)).withColumn("v", F.when(F.col("good"), v)), "vectors")
     classes = rows.where("good").groupBy("digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
     classes = C.staged(classes.withColumn("space", F.xxhash64("label", F.size("v"))).drop("label"), "vector-classes")
-    sizes = [r["n"] for r in classes.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(64).collect()]
+    sizes = [r["n"] for r in classes.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(most_indexes + 1).collect()]
+    indexed, others = sizes[:most_indexes], len(sizes) > most_indexes
     n = classes.count()
+    chunk = int(np.clip(n // (8 * C.shuffle_partitions(spark)), 256, 8192))
     found = None
-    for size in sizes:
-        own = classes.where(F.size("v") == size)
-        drawn = own.orderBy(F.md5("digest"), "digest").limit(sample_rows).select("v").toPandas()
-        x = unit(np.stack(drawn["v"].to_numpy()))
-        k = int(np.clip(np.ceil(np.sqrt(n / per_cell)), 4, most_codes))
-        index = spark.sparkContext.broadcast(MultiIndex.fit(x, k, threshold, recall))
+    for size in [*indexed, None] if others else indexed:
+        if size is None:
+            own, index = classes.where(~F.size("v").isin(indexed)), None
+        else:
+            own = classes.where(F.size("v") == size)
+            drawn = own.orderBy(F.md5("digest"), "digest").limit(sample_rows).select("v").toPandas()
+            x = unit(np.stack(drawn["v"].to_numpy()))
+            k = int(np.clip(np.ceil(np.sqrt(n / per_cell)), 4, most_codes))
+            index = spark.sparkContext.broadcast(MultiIndex.fit(x, k, threshold, recall))
 
         def visit(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for at in range(0, len(batch), 1024):
                     part = batch.iloc[at : at + 1024]
-                    x = unit(np.stack(part["v"].to_numpy()))
-                    cell, visited = index.value.visits(x)
+                    if index is None:
+                        x = [unit(np.asarray(v)[None])[0] for v in part["v"]]
+                        cell, visited = np.full(len(part), -1), [[-1]] * len(part)
+                    else:
+                        x = unit(np.stack(part["v"].to_numpy()))
+                        cell, visited = index.value.visits(x)
                     count = [len(c) for c in visited]
                     place = np.repeat(np.arange(len(part)), count)
                     cells = np.concatenate([np.asarray(c, dtype=np.int64) for c in visited])
@@ -136,20 +162,7 @@ def link(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.99, samp
                     yield pd.DataFrame({"space": part["space"].to_numpy()[place], "cell": cells, "id": part["id"].to_numpy()[place], "copies": part["copies"].to_numpy()[place], "base": cells == cell[place], "raw": raw[place]})
 
         visits = own.select("space", "id", "copies", "v").mapInPandas(visit, "space long, cell long, id long, copies long, base boolean, raw binary")
-        visits = visits.withColumn("grp", F.xxhash64("space", "cell"))
-
-        def check(held: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-            def matrix(at: np.ndarray) -> np.ndarray:
-                return np.frombuffer(b"".join(held["raw"][at]), dtype=np.float64).reshape(len(at), -1)
-
-            close = matrix(left) @ matrix(right).T >= threshold
-            (il, bl, sl), (ir, br, sr) = ((held["id"][at], held["base"][at], held["space"][at]) for at in (left, right))
-            # Every row visits; the larger id has to be at home here.
-            close &= np.where(il[:, None] < ir[None, :], br[None, :], bl[:, None]) & (il[:, None] != ir[None, :])
-            return close & (sl[:, None] == sr[None, :])
-
-        chunk = int(np.clip(n // (8 * C.shuffle_partitions(spark)), 256, 8192))
-        part = B.links(visits, "grp", ["space", "base", "raw"], check, chunk)
+        part = B.links(visits.withColumn("grp", F.xxhash64("space", "cell")), "grp", ["space", "base", "raw"], alike(threshold), chunk)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
