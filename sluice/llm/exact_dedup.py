@@ -63,7 +63,7 @@ def verdicts(docs: DataFrame, index: DigestIndex, key: str = "doc_id", text: str
     A text the index had already keeps the row of the earlier batch: none of the new rows is kept.
     """
     distinct = C.staged(tuples(docs, key, text), "exact-rows")
-    better = F.struct("len", F.col("doc_id").isNotNull().cast("int"), -F.col("doc_id"))
+    better = F.struct("len", F.col("doc_id").isNotNull().cast("int"), F.bitwise_not("doc_id"))
     groups = C.staged(distinct.groupBy("digest").agg(F.sum("n").alias("group_size"), F.max_by("doc_id", better).alias("keep_id"), F.max("len").alias("keep_len")), "exact-groups")
     before = index.read()
     if before is None:
