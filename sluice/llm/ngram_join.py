@@ -11,7 +11,8 @@ group meets in one task and no pair is emitted.
 
 Words are the lower-cased text's runs of characters outside [\\x20\\x09-\\x0D] and other Unicode space; 5-grams are compared by 64-bit hashes
 of their bytes. Defined cases: a text of one to four words has its whole word sequence as single shingle; null, empty and
-blank texts and null ids link with nothing; rows repeating an id and text count as copies; an empty table gives no rows.
+blank texts and null ids link with nothing; rows repeating an id and text count as copies; rows that share an
+id with different texts are one node: keep_one drops the id if any of them is a near copy of a smaller id; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -141,6 +141,9 @@ def test_embeddings(spark):
     assert total > 500 and found >= 0.95 * total
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] and got[i]["component_id"] == i for i in range(201, 207))
     assert embedding_dedup.link(table.limit(0)).count() == 0
+    # Without an index all vectors of a length and label meet: exact.
+    every = {r["vec_id"]: r for r in embedding_dedup.link(table, most_indexes=0).collect()}
+    assert sum(every[i]["n_links"] for i, _, _ in good) == total and all(every[i]["n_links"] >= got[i]["n_links"] for i in got)
 
 
 def test_toxicity(spark, docs, empty):
