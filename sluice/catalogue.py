@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.operators import batching, corpus, deident, metrics, ml, readside, significance
+from sluice.operators import batching, corpus, deident, metrics, ml, readside, requests, significance
 from sluice.oracles import ORACLES  # noqa: F401
 from sluice.plans.predictions import CLASSIFIERS, EMBEDDINGS, KEYS, MODES, predictions
 from sluice.sources import files
@@ -373,3 +373,62 @@ def pca_projection(spark, sf_dir):
 def hashed_embedding(spark, sf_dir):
     rows = ml.hashed_embedding(docs(spark, sf_dir), "text")
     return rows.select("doc_id", F.size("vec").alias("dim"), F.round(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)), 4).alias("norm"))
+
+
+@query
+def confusion_rates(spark, sf_dir):
+    return metrics.confusion_rates(results(spark, sf_dir))
+
+
+@query
+def degradation_cells(spark, sf_dir):
+    return readside.degradation_cells(master_table(spark, sf_dir))
+
+
+@query
+def trained_subset(spark, sf_dir):
+    """Which requested embeddings a run lacks; pipeline 4 has none."""
+    wanted = spark.createDataFrame([(p, m, e) for p in (1, 2, 3, 4) for m in MODE_NAMES for e in EMB_NAMES], "pipeline int, mode string, emb string")
+    out = readside.lacking(wanted, predictions(spark, sf_dir), ["pipeline", "mode"], "emb")
+    return out.select("pipeline", "mode", F.array_join("missing", ",").alias("missing"), "complete")
+
+
+@query
+def cost_summary(spark, sf_dir):
+    return batching.cost_summary(table(spark, sf_dir, "events"), "event_type", "value")
+
+
+@query
+def embedding_plan(spark, sf_dir):
+    return requests.plan(docs(spark, sf_dir), "lang", "text")
+
+
+@query
+def usable_by_source(spark, sf_dir):
+    names = sorted(corpus.BOUNDS)
+    rows = docs(spark, sf_dir).select("doc_id", "text", F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % len(names) + 1).cast("int")).alias("kind"))
+    return corpus.usable_by_source(rows, "kind", "text", corpus.BOUNDS).select("doc_id", "kind")
+
+
+@query
+def renumbered_ids(spark, sf_dir):
+    return corpus.renumbered(docs(spark, sf_dir), "text", "doc_id", "aeslc").select("doc_id", "new_id")
+
+
+@query
+def job_progress(spark, sf_dir):
+    events = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("total"), F.sum((F.col("event_type") == "click").cast("long")).alias("done"), (F.max(F.unix_seconds(F.col("ts").cast("timestamp"))) - F.min(F.unix_seconds(F.col("ts").cast("timestamp")))).alias("elapsed"))
+    fraction, left = readside.progress(F.col("user_id") % 20, F.lit(19), F.col("done"), F.col("total"), F.col("elapsed"))
+    return events.select("user_id", F.round(fraction, 9).alias("fraction"), left.cast("long").alias("seconds_left"))
+
+
+@query
+def upload_guard(spark, sf_dir):
+    name = F.concat(F.col("doc_id").cast("string"), F.element_at(F.array(*map(F.lit, (".txt", ".JSONL", ".exe"))), (F.col("doc_id") % 3 + 1).cast("int")))
+    return docs(spark, sf_dir).select("doc_id", readside.upload_verdict(name, F.col("text")).alias("verdict"))
+
+
+@query
+def dataset_peek(spark, sf_dir):
+    cut = lambda c, n: F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("…"))).otherwise(F.col(c))
+    return docs(spark, sf_dir).select("doc_id", F.md5(cut("text", 110)).alias("short_md5"), F.md5(cut("text", 170)).alias("long_md5"))

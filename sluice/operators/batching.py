@@ -35,3 +35,8 @@ def latency_percentiles(rows: DataFrame, group: str, value: str) -> DataFrame:
     p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
     out = rows.groupBy(group).agg(F.avg(value).alias("mean"), p.alias("p"), F.min(value).alias("least"))
     return out.select(group, F.round("mean", 6).alias("mean"), *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))], F.round("least", 6).alias("least"))
+
+
+def cost_summary(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """Mean, median and maximum of a cost column."""
+    return rows.groupBy(group).agg(F.round(F.avg(value), 6).alias("mean"), F.round(F.median(value), 6).alias("median"), F.round(F.max(value), 6).alias("most"))

@@ -39,17 +39,33 @@ def topup(docs: DataFrame, text: str, order: str, n: int) -> DataFrame:
     return ranked.orderBy(F.col("copy") > 1, order).limit(n)
 
 
-def template_cycle(docs: DataFrame, text: str, order: str, templates: int = 5) -> DataFrame:
-    """Adds template: how many distinct texts came before this row, modulo the templates."""
+def distinct_rank(docs: DataFrame, text: str, order: str) -> DataFrame:
+    """Adds copy and rank: how many distinct texts came before this row. Counted slice by slice of the order."""
     ranked = first_occurrence(docs, text, order)
-    slices = F.floor(F.col(order) / 10_000)
-    first = (F.col("copy") == 1).cast("long")
-    cut = ranked.withColumn("__slice", slices).withColumn("__first", first)
+    cut = ranked.withColumn("__slice", F.floor(F.col(order) / 10_000)).withColumn("__first", (F.col("copy") == 1).cast("long"))
     sums = cut.groupBy("__slice").agg(F.sum("__first").alias("__n"))
     before = sums.select(F.col("__slice").alias("__s"), F.coalesce(F.sum("__n").over(Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     within = Window.partitionBy("__slice").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     out = cut.withColumn("__in", F.coalesce(F.sum("__first").over(within), F.lit(0))).join(before, F.col("__slice") == F.col("__s"))
-    return out.withColumn("template", ((F.col("__before") + F.col("__in")) % templates).cast("int")).drop("__slice", "__first", "__s", "__before", "__in")
+    return out.withColumn("rank", F.col("__before") + F.col("__in")).drop("__slice", "__first", "__s", "__before", "__in")
+
+
+def template_cycle(docs: DataFrame, text: str, order: str, templates: int = 5) -> DataFrame:
+    """Adds template: how many distinct texts came before this row, modulo the templates."""
+    return distinct_rank(docs, text, order).withColumn("template", (F.col("rank") % templates).cast("int")).drop("rank")
+
+
+def renumbered(docs: DataFrame, text: str, order: str, prefix: str) -> DataFrame:
+    """First occurrences with new_id: prefix and a five-digit number in order."""
+    first = distinct_rank(docs, text, order).where("copy = 1")
+    return first.withColumn("new_id", F.format_string(f"{prefix}_%05d", "rank")).drop("copy", "rank")
+
+
+def usable_by_source(docs: DataFrame, source: str, text: str, bounds: dict[str, tuple[int, int]]) -> DataFrame:
+    """Rows within their source's length bounds; rows of other sources go. The bounds are a literal map."""
+    at = F.create_map(*[F.lit(x) for name, b in bounds.items() for x in (name, F.array(*map(F.lit, b)))])
+    pair = F.try_element_at(at, F.col(source))
+    return docs.where(F.coalesce(usable_length(F.col(text), pair[0], pair[1]), F.lit(False)))
 
 
 def attack_pool(benchmark: DataFrame) -> DataFrame:

@@ -109,3 +109,10 @@ def breakdown(preds: DataFrame, keys: list[str], by: str) -> DataFrame:
         ratio(F.sum(F.col("y_true") * F.col("y_pred")), F.sum("y_true")).alias("detection_rate"), ratio(F.sum((1 - F.col("y_true")) * F.col("y_pred")), F.sum(1 - F.col("y_true"))).alias("fpr"),
     )
     return rounded(out)
+
+
+def confusion_rates(results: DataFrame) -> DataFrame:
+    """Row-normalised confusion matrix of each configuration; an empty row counts as 0."""
+    negatives, positives = F.greatest(F.col("tn") + F.col("fp"), F.lit(1)), F.greatest(F.col("fn") + F.col("tp"), F.lit(1))
+    rates = [F.round(F.col(c) / d, 9).alias(f"{c}_rate") for c, d in (("tn", negatives), ("fp", negatives), ("fn", positives), ("tp", positives))]
+    return results.select("pipeline", "mode", "emb", "clf", *rates)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sluice.operators.corpus import stripped
 from sluice.operators.metrics import rounded
 
 #: The three thresholds of the three shortcut rules, and the verdict rule.
@@ -80,3 +81,32 @@ def cell_class(points: F.Column, intent: F.Column, significant: F.Column) -> F.C
 
 def p_text(p: F.Column) -> F.Column:
     return F.when(p == 0, "< 1e-300").otherwise(F.format_string("%.2e", p))
+
+
+def degradation_cells(master: DataFrame, variants: tuple[str, ...] = ("user_intent_only", "context_only")) -> DataFrame:
+    """The class of every variant's degradation cell of a master table with tests."""
+    cells = [cell_class(F.col(f"{v}_deg") * 100, F.lit(v == "user_intent_only"), F.col(f"{v}_significant")).alias(f"{v}_class") for v in variants]
+    return master.select("pipeline", "emb", "clf", *cells)
+
+
+def progress(step: F.Column, steps: F.Column, done: F.Column, total: F.Column, elapsed: F.Column) -> tuple[F.Column, F.Column]:
+    """The fraction done, a step marker meaning that the step began, and the whole seconds left (null up to 2 %)."""
+    inner = F.when(total > 0, F.least(F.lit(1.0), done / total)).otherwise(0.0)
+    fraction = F.least(F.lit(1.0), (F.greatest(F.lit(0), step - 1) + inner) / steps)
+    return fraction, F.when(fraction > 0.02, F.floor(elapsed * (1 - fraction) / fraction + 0.5))
+
+
+def upload_verdict(name: F.Column, text: F.Column, most_bytes: int = 1 << 20) -> F.Column:
+    """Why an uploaded text is refused: type, size, binary or empty; else ok."""
+    return (
+        F.when(~F.lower(name).rlike(r"\.(txt|html|json|jsonl|csv|tsv|py|js)$"), "type").when(F.octet_length(text) > most_bytes, "size")
+        .when(text.rlike(r"[\x00-\x08\x0e-\x1f]"), "binary").when(F.coalesce(F.length(stripped(text)), F.lit(0)) == 0, "empty").otherwise("ok")
+    )
+
+
+def lacking(requested: DataFrame, trained: DataFrame, run: list[str], item: str) -> DataFrame:
+    """Per run: what was requested and not trained, in order, and whether the run is complete."""
+    have = trained.select(*run, item).distinct().withColumn("__here", F.lit(True))
+    both = requested.select(*run, item).distinct().join(have, [*run, item], "left")
+    missing = F.array_sort(F.collect_list(F.when(F.col("__here").isNull(), F.col(item))))
+    return both.groupBy(*run).agg(missing.alias("missing")).withColumn("complete", F.size("missing") == 0)

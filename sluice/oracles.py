@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sluice.operators.corpus import BOUNDS
 from sluice.plans.predictions import PREDS_SQL
 
 SEED = 42
@@ -117,3 +118,25 @@ ORACLES = {
     "log_state": """with s as (select user_id job, count(*) step, max_by(event_type, event_id) "label", max(event_id) since from events where event_id % 11 = 0 group by 1), p as (select user_id job, max_by('p' || (event_id % 7), event_id) phase from events join s on s.job = user_id where event_id % 11 <> 0 and event_id % 3 = 0 and event_id > since group by 1) select job, step, "label", phase from s left join p using (job)""",
     "pipeline_artifacts": "with g as (select cast(p as int) pipeline, mode from (values (1),(2),(3),(4)) a(p) cross join (values ('normal'),('user_intent_only'),('context_only')) m(mode)), e as (select distinct cast(1 + user_id % 3 as int) pipeline, 1 here from events) select g.pipeline, mode, count(*) n_expected, cast(coalesce(sum(here), 0) as bigint) n_present from g left join e using (pipeline) group by rollup (g.pipeline, mode)",
 }
+
+_BOUNDS = ", ".join(f"({i}, '{name}', {low}, {high})" for i, (name, (low, high)) in enumerate(sorted(BOUNDS.items())))
+ORACLES |= {
+    "confusion_rates": f"{_METRICS} select pipeline, mode, emb, clf, round(tn / greatest(tn + fp, 1), 9) tn_rate, round(fp / greatest(tn + fp, 1), 9) fp_rate, round(fn / greatest(fn + tp, 1), 9) fn_rate, round(tp / greatest(fn + tp, 1), 9) tp_rate from results",
+    "degradation_cells": f"""with m as ({ORACLES["master_table"]}) select pipeline, emb, clf,
+      case when user_intent_only_deg * 100 > 0.5 then 'pos' else 'alarm' end || case when coalesce(user_intent_only_significant, true) then '' else ' ns' end user_intent_only_class,
+      case when context_only_deg * 100 > 0.5 then 'pos' else 'flat' end || case when coalesce(context_only_significant, true) then '' else ' ns' end context_only_class from m""",
+    "trained_subset": f"""with {PREDS_SQL}, have as (select distinct pipeline, mode, emb from preds),
+      wanted as (select p.pipeline, m.mode, e.emb from (values (1), (2), (3), (4)) p(pipeline), (values ('normal'), ('user_intent_only'), ('context_only')) m(mode), (values ('minilm'), ('openai'), ('qwen3')) e(emb))
+      select w.pipeline, w.mode, coalesce(string_agg(case when h.emb is null then w.emb end, ',' order by w.emb), '') missing, count(*) = count(h.emb) complete from wanted w left join have h on h.pipeline = w.pipeline and h.mode = w.mode and h.emb = w.emb group by w.pipeline, w.mode""",
+    "cost_summary": "select event_type, round(avg(value), 6) mean, round(quantile_cont(value, 0.5), 6) median, round(max(value), 6) most from events group by event_type",
+    "embedding_plan": r"""with t as (select lang, coalesce(len(regexp_extract_all(text, '\S+')), 0) n from documents)
+      select lang, count(*) n_texts, cast(sum(least(greatest(n, 1), 8191)) as bigint) n_tokens, cast(sum(case when n > 8191 then 1 else 0 end) as bigint) n_truncated, round(sum(least(greatest(n, 1), 8191)) / 850000.0, 9) as minutes from t group by lang""",
+    "usable_by_source": rf"""select doc_id, kind from documents join (values {_BOUNDS}) b(place, kind, low, high) on doc_id % {len(BOUNDS)} = place
+      where length(text) > 0 and length(regexp_replace(text, '^\s+|\s+$', '', 'g')) between low and high""",
+    "renumbered_ids": "select doc_id, format('aeslc_{:05d}', row_number() over (order by doc_id) - 1) new_id from (select min(doc_id) doc_id from documents group by text)",
+    "job_progress": """with j as (select user_id, count(*) total, count(*) filter (event_type = 'click') done, epoch(date_trunc('second', max(ts))) - epoch(date_trunc('second', min(ts))) elapsed from events group by user_id),
+      f as (select user_id, elapsed, least(1.0, (greatest(0, user_id % 20 - 1) + done / total) / 19) fraction from j)
+      select user_id, round(fraction, 9) fraction, cast(case when fraction > 0.02 then floor(elapsed * (1 - fraction) / fraction + 0.5) end as bigint) seconds_left from f""",
+    "upload_guard": r"""select doc_id, case when doc_id % 3 = 2 then 'type' when strlen(text) > 1048576 then 'size' when regexp_matches(text, '[\x00-\x08\x0e-\x1f]') then 'binary' when coalesce(length(trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), 0) = 0 then 'empty' else 'ok' end verdict from documents""",
+    "dataset_peek": "select doc_id, md5(case when length(text) > 110 then substr(text, 1, 110) || '…' else text end) short_md5, md5(case when length(text) > 170 then substr(text, 1, 170) || '…' else text end) long_md5 from documents",
+}
