@@ -37,7 +37,7 @@ from .ngram_join import _BYTE, _INVERSE, _STEP, _powers, mixed
 
 GRAM = 21  #: bytes of a q-gram
 PLACE = np.uint64((1 << 24) - 1)  #: low bits that hold a place in a chunk
-CHUNK = 1 << 20  #: bytes that are scanned at once
+CHUNK = 1 << 20  #: bytes that are scanned at once; a longer document is scanned in pieces
 NO_ID = np.iinfo(np.int64).max
 #: More different regions than this in a bucket: its windows are dealt one by one.
 CROWDED = 64
@@ -55,6 +55,9 @@ class Classes:
     count: np.ndarray
 
 
+FIELDS = ("gram", "region", "doc", "first", "count")
+
+
 def _scan(raw: np.ndarray, bounds: np.ndarray, length: int) -> Classes:
     """raw: documents one after another; bounds: where they begin, and the end."""
     n = len(raw) - length + 1
@@ -88,22 +91,40 @@ def _scan(raw: np.ndarray, bounds: np.ndarray, length: int) -> Classes:
     return Classes(h[owner[cut]], region, doc, first - bounds[doc], count)
 
 
+def _long(raw: np.ndarray, most: int, length: int) -> list[Classes]:
+    """The classes of one document, in pieces of `most` bytes. A piece's last class may go on: the next piece begins at its first window."""
+    parts, at = [], 0
+    while True:
+        piece = raw[at : at + most]
+        found = _scan(piece, np.array([0, len(piece)]), length)
+        found.first = found.first + at
+        if at + most >= len(raw):
+            return [*parts, found]
+        at = int(found.first[-1])
+        parts.append(Classes(*[getattr(found, f)[:-1] for f in FIELDS]))
+
+
 def scan(texts: list[bytes], length: int) -> Classes:
     parts, run, size, base = [], [], 0, 0
+    # A piece's places fit into PLACE, and it has more windows than a class can.
+    most = max(min(CHUNK, int(PLACE) + 1), 2 * length)
+    if most > int(PLACE) + 1:
+        raise ValueError(f"length {length} is too large: at most {(int(PLACE) + 1) // 2}")
     for i, t in enumerate([*texts, b""]):
-        if run and (i == len(texts) or size + len(t) > CHUNK):
+        if run and (i == len(texts) or size + len(t) > most):
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in run])])
             if bounds[-1] >= length:
-                found = _scan(np.frombuffer(b"".join(run), np.uint8), bounds, length)
-                found.doc = found.doc + base
-                parts.append(found)
+                raw = np.frombuffer(b"".join(run), np.uint8)
+                for found in [_scan(raw, bounds, length)] if len(raw) <= most else _long(raw, most, length):
+                    found.doc = found.doc + base
+                    parts.append(found)
             run, size, base = [], 0, i
         if i < len(texts):
             run.append(t)
             size += len(t)
     if not parts:
         return _scan(np.zeros(length, np.uint8), np.array([0, 0]), length)
-    return Classes(*[np.concatenate([getattr(p, f) for p in parts]) for f in ("gram", "region", "doc", "first", "count")])
+    return Classes(*[np.concatenate([getattr(p, f) for p in parts]) for f in FIELDS])
 
 
 def dealt(hashes: np.ndarray, n: int) -> np.ndarray:

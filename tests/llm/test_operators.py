@@ -123,6 +123,32 @@ def test_suffix_dedup(docs, empty, monkeypatch, crowded):
     assert suffix_dedup.spans(empty).count() == 0
 
 
+def test_suffix_dedup_scans_long_texts_in_pieces(monkeypatch):
+    rng = np.random.default_rng(6)
+    text = rng.integers(97, 123, 30_000, dtype=np.uint8).tobytes() + b"ab" * 3000 + b"z" * 3000
+    texts = [b"", text[:700], text, b"short", text[5000:9000]]
+    fields = ("gram", "region", "doc", "first", "count")
+    whole = suffix_dedup.scan(texts, 50)
+    monkeypatch.setattr(suffix_dedup, "PLACE", np.uint64((1 << 10) - 1))
+    cut = suffix_dedup.scan(texts, 50)
+    # Fewer bits of a place leave more bits of the hash: the same windows, each once, and equal classes of equal texts.
+    windows = lambda c: sorted((int(d), int(f) + k) for d, f, n in zip(c.doc, c.first, c.count, strict=True) for k in range(n))
+    assert windows(cut) == windows(whole) == [(d, k) for d, t in enumerate(texts) for k in range(len(t) - 49)]
+    assert all(suffix_dedup.scan([t], 50).gram.tolist() == cut.gram[cut.doc == d].tolist() for d, t in enumerate(texts) if len(t) >= 50)
+    inner = {(f - 5000, g, r, n) for d, f, g, r, n in zip(*[getattr(cut, x).tolist() for x in ("doc", "first", "gram", "region", "count")], strict=True) if d == 2 and f >= 5000}
+    part = [(f, g, r, n) for d, f, g, r, n in zip(*[getattr(cut, x).tolist() for x in ("doc", "first", "gram", "region", "count")], strict=True) if d == 4]
+    assert len(part) > 100 and set(part[1:-1]) <= inner
+
+
+def test_suffix_dedup_beyond_24_bits_of_places(spark):
+    letters = np.random.default_rng(7).integers(97, 123, (1 << 24) + 4000, dtype=np.uint8).tobytes().decode()
+    tail, early = letters[-2000:-1000], "early " + "".join(reversed(letters[:600]))
+    rows = [(1, early), (2, letters + early), (3, "later " + tail + " end")]
+    got = {r["doc_id"]: r for r in suffix_dedup.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["removed"] == [] and [tuple(s) for s in got[2]["removed"]] == [(len(letters), len(letters + early))]
+    assert bytes(got[2]["kept"]) == letters.encode() and [tuple(s) for s in got[3]["removed"]] == [(6, 1006)] and bytes(got[3]["kept"]) == b"later  end"
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((150, 16))
