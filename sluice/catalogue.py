@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sluice.operators import batching, corpus, deident, metrics, ml, readside, requests, significance
 from sluice.oracles import ORACLES  # noqa: F401
@@ -31,7 +32,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The run whose curves are shown: pipeline 1, normal."""
+    """The run whose curves are shown: pipeline 1, normal. The queries of all runs end in _all_runs."""
     return predictions(spark, sf_dir, 1, "normal")
 
 
@@ -70,6 +71,26 @@ def curve_downsample(spark, sf_dir):
     return metrics.downsample(metrics.pr_curve(one_run(spark, sf_dir), ["emb", "clf"]), ["emb", "clf"])
 
 
+@query
+def roc_curve_all_runs(spark, sf_dir):
+    return metrics.roc_curve(predictions(spark, sf_dir), KEYS)
+
+
+@query
+def pr_curve_all_runs(spark, sf_dir):
+    return metrics.pr_curve(predictions(spark, sf_dir), KEYS)
+
+
+@query
+def pr_auc_trapz_all_runs(spark, sf_dir):
+    return metrics.area(metrics.pr_curve(predictions(spark, sf_dir), KEYS), KEYS, "recall", "precision")
+
+
+@query
+def curve_downsample_all_runs(spark, sf_dir):
+    return metrics.downsample(metrics.pr_curve(predictions(spark, sf_dir), KEYS), KEYS)
+
+
 @query
 def score_histogram(spark, sf_dir):
     return metrics.score_histogram(predictions(spark, sf_dir), KEYS)
@@ -88,8 +109,10 @@ def mcnemar_within(spark, sf_dir):
 
 @query
 def mcnemar_top3(spark, sf_dir):
-    tests = significance.within_run(one_run(spark, sf_dir), CONFIGS)
-    return tests.orderBy("p_holm", F.col("statistic").desc(), "a", "b_name").limit(3).select("a", "b_name", "b", "c", "p_holm")
+    """The three clearest differences of each run."""
+    tests = significance.within_run(predictions(spark, sf_dir), CONFIGS)
+    place = F.row_number().over(Window.partitionBy("pipeline", "mode").orderBy("p_holm", F.col("statistic").desc(), "a", "b_name"))
+    return tests.withColumn("place", place).where("place <= 3").select("pipeline", "mode", "a", "b_name", "b", "c", "p_holm")
 
 
 @query

@@ -120,6 +120,15 @@ ORACLES = {
 }
 
 _BOUNDS = ", ".join(f"({i}, '{name}', {low}, {high})" for i, (name, (low, high)) in enumerate(sorted(BOUNDS.items())))
+
+
+def _all_runs(sql: str) -> str:
+    """The SQL of one run's curves, over every run."""
+    own = sql.replace(PREDS_SQL, "@").replace(" where pipeline = 1 and mode = 'normal'", "").replace("emb, clf", "pipeline, mode, emb, clf")
+    return own.replace("@", PREDS_SQL)
+
+
+ORACLES |= {f"{name}_all_runs": _all_runs(ORACLES[name]) for name in ("roc_curve", "pr_curve", "pr_auc_trapz", "curve_downsample")}
 ORACLES |= {
     "confusion_rates": f"{_METRICS} select pipeline, mode, emb, clf, round(tn / greatest(tn + fp, 1), 9) tn_rate, round(fp / greatest(tn + fp, 1), 9) fp_rate, round(fn / greatest(fn + tp, 1), 9) fn_rate, round(tp / greatest(fn + tp, 1), 9) tp_rate from results",
     "degradation_cells": f"""with m as ({ORACLES["master_table"]}) select pipeline, emb, clf,
