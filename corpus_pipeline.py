@@ -31,7 +31,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    """Lengths are rounded up to 8 words before the boundaries are chosen: not the least padding (see README)."""
+    return packing.pack(docs, grain=8)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

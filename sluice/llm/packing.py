@@ -3,11 +3,11 @@
 Dynamic programming over the global length histogram chooses the bucket boundaries with the least padding; inside
 each bucket rows, in a seeded order, form batches of as many rows as the token budget holds at the bucket's length.
 
-The histogram has one row per distinct length rounded up to `grain` words: its size is bounded by the longest text,
-not by the number of rows, and is the only thing that the driver sees. Positions in a bucket are found slice by
+The histogram has one row per distinct length (rounded up to `grain` words, by default not at all): its size is bounded by
+the longest text, not by the number of rows, and is the only thing that the driver sees. Positions in a bucket are found slice by
 slice (common.running), so a bucket that holds most rows is spread over all tasks.
 
-Defined cases: null and empty texts have length 0 and fall in the first bucket; a text longer than the budget is a batch of
+Defined cases: null and empty texts have length 0 and fall in the first bucket, which is at least one word long; a text longer than the budget is a batch of
 its own; repeated rows are packed each; an empty table gives no rows.
 """
 
@@ -59,7 +59,7 @@ def boundaries(lengths: list[int], counts: list[int], buckets: int, grain: int =
     return sorted(out)
 
 
-def pack(docs: DataFrame, buckets: int = 16, budget: int = 16_384, grain: int = 8, seed: int = 31, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, buckets: int = 16, budget: int = 16_384, grain: int = 1, seed: int = 31, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_tokens, bucket, padded (length of the bucket), batch (within the bucket), slot (in the batch), padding."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("doc_id"), C.word_count(F.col(text)).alias("n_tokens"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("__crc"))

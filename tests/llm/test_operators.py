@@ -72,6 +72,17 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+@pytest.mark.parametrize("lengths", [[1] * 20 + [2, 3, 3, 5, 8, 9, 9, 13, 17, 18] * 2 + [40], list(range(1, 17))])
+@pytest.mark.parametrize("buckets", [3, 16])
+def test_packing_pads_least(spark, lengths, buckets):
+    table = spark.createDataFrame([(i, "w " * n) for i, n in enumerate(lengths)], "doc_id long, text string")
+    rows = packing.pack(table, buckets=buckets).collect()
+    assert sorted(r["n_tokens"] for r in rows) == sorted(lengths) and len({r["padded"] for r in rows}) <= buckets
+    distinct = sorted(set(lengths))
+    cuts = ((*b, distinct[-1]) for k in range(min(buckets, len(distinct))) for b in itertools.combinations(distinct[:-1], k))
+    assert sum(r["padding"] for r in rows) == min(sum(min(x for x in b if x >= n) - n for n in lengths) for b in cuts)
+
+
 def brute_exact():
     groups = {}
     for i, t, _, _ in ROWS:
