@@ -3,10 +3,15 @@
 A group's rows are cut into chunks by a hash of the id; a block is a pair of chunks. So no group meets in one task,
 all its pairs are checked, and none is emitted: a block returns one row per id that has a link, with its
 number of links and the smallest id of its part of the block's link graph.
+
+A row is sent once for each chunk of its group. A group has as many chunks as spread its share of all pairs over the
+tasks (the square root of their number at most, whatever the group's size), and more only where a chunk would
+exceed the memory bounds MOST_ROWS and MOST_BYTES. Up to that size the rows sent are linear in the group.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,15 +23,25 @@ from . import common as C
 
 #: Broadcast only tables of so many rows of a few numbers.
 SMALL = 50_000
-
-Check = Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray], np.ndarray]
-
-
-def into_blocks(rows: DataFrame, group: str, chunk: int) -> DataFrame:
-    """rows: group (long), id, more. Adds a, b (the block) and own (the row's chunk); a row goes to as many blocks as its group has chunks."""
-    large = C.staged(rows.groupBy(F.col(group).alias("__g")).agg(F.ceil(F.count("*") / chunk).cast("int").alias("__n")).where("__n > 1"), "blocks")
-    few = large.count() <= SMALL
-    joined = rows.join(F.broadcast(large) if few else large.hint("merge"), F.col(group) == F.col("__g"), "left")
+#: Rows of a chunk: not cut below the first, not above the second; bytes of a chunk's rows.
+LEAST_ROWS, MOST_ROWS, MOST_BYTES = 64, 2_048, 16 << 20
+STRIP = 256  #: rows of a matrix that are looked at together
+NONE = np.iinfo(np.int64).max
+
+Check = Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray]
+
+
+def into_blocks(rows: DataFrame, group: str, size: str | None, least: int, most: int) -> DataFrame:
+    """rows: group (long), id, more; size: a binary column that makes up a row's bytes. Adds a, b (the block) and own (the row's chunk)."""
+    spark = rows.sparkSession
+    weight = F.sum(F.octet_length(size)) if size else F.lit(0)
+    counted = rows.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__rows"), weight.alias("__bytes")).where(F.col("__rows") > least)
+    counted = C.staged(counted, "blocks")
+    pairs = counted.agg(F.sum(F.col("__rows").cast("double") * F.col("__rows"))).first()[0] or 1.0
+    spread = math.sqrt(C.shuffle_partitions(spark) / pairs)
+    chunks = F.greatest(F.ceil(F.least(F.col("__rows") * spread, F.col("__rows") / least)), F.ceil(F.col("__rows") / most), F.ceil(F.col("__bytes") / MOST_BYTES))
+    large = counted.select("__g", chunks.cast("int").alias("__n")).where("__n > 1")
+    joined = rows.join(F.broadcast(large) if large.count() <= SMALL else large.hint("merge"), F.col(group) == F.col("__g"), "left")
     joined = joined.withColumn("__n", F.coalesce("__n", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("__n")).cast("int"))
     joined = joined.withColumn("__c", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
     return joined.withColumn("a", F.least("own", "__c")).withColumn("b", F.greatest("own", "__c")).drop("__g", "__n", "__c")
@@ -50,54 +65,64 @@ def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.
         yield rest, np.array([0, len(rest)])
 
 
-def smallest(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The smallest id reachable from each row over a symmetric link matrix."""
-    label = ids.copy()
+def near(linked: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """The smallest label that each row of a link matrix is linked to."""
+    parts = [np.where(linked[i : i + STRIP], label[None, :], NONE).min(axis=1, initial=NONE) for i in range(0, len(linked), STRIP)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def smallest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest id reachable from each row and each column of a link matrix between ids."""
     while True:
-        near = np.where(linked, label[None, :], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
-        new = np.minimum(label, near)
-        if (new == label).all():
-            return label
-        label = new
+        to_left = np.minimum(left, near(linked, right))
+        to_right = np.minimum(right, near(linked.T, to_left))
+        if (to_left == left).all() and (to_right == right).all():
+            return left, right
+        left, right = to_left, to_right
+
+
+def counted(linked: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    parts = [linked[i : i + STRIP] @ copies.astype(np.float64) for i in range(0, len(linked), STRIP)]
+    return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
 
 
-def links(rows: DataFrame, group: str, columns: list[str], check: Check, chunk: int) -> DataFrame:
-    """rows: group, id, copies and columns. check(values, left, right, inside) gets the columns of one block and the places of two
-    chunks, and returns a matrix of links; a link counts the other side's copies. Result: id, n_links, root; parts of one id still to be added up."""
-    blocks = into_blocks(rows.select(group, "id", "copies", *columns), group, chunk)
+def links(rows: DataFrame, group: str, columns: list[str], check: Check, size: str | None = None, distinct: tuple[str, ...] = (), most: int = MOST_ROWS) -> DataFrame:
+    """rows: group, id, copies and columns. check(values, left, right) gets the columns of one block and the places of two chunks, and
+    returns a matrix of links; a link counts the other side's copies. Rows that are equal in the columns `distinct` are one.
+    Result: group, id, n_links, root; parts of one id still to be added up."""
+    blocks = into_blocks(rows.select(group, "id", "copies", *columns), group, size, min(LEAST_ROWS, most), most)
     keys = [group, "a", "b"]
     dealt = blocks.repartition(C.shuffle_partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch, bounds in runs(batches, keys):
-            held = {c: batch[c].to_numpy() for c in ("id", "copies", "own", "a", "b", *columns)}
+            held = {c: batch[c].to_numpy() for c in (group, "id", "copies", "own", "a", "b", *columns)}
             out = []
             for start, end in zip(bounds[:-1], bounds[1:], strict=True):
                 if end - start < 2:
                     continue
-                own, a, b = held["own"][start:end], held["a"][start], held["b"][start]
-                left = start + np.flatnonzero(own == a)
-                right = left if a == b else start + np.flatnonzero(own == b)
+                place = np.arange(start, end)
+                if distinct:
+                    place = place[~batch.iloc[start:end].duplicated(list(distinct)).to_numpy()]
+                a, b = held["a"][start], held["b"][start]
+                left = place[held["own"][place] == a]
+                right = left if a == b else place[held["own"][place] == b]
                 if not len(left) or not len(right):
                     continue
                 found = check(held, left, right)
                 if not found.any():
                     continue
-                if a == b:
-                    ids, full = held["id"][left], found
-                    n = full @ held["copies"][left]
-                else:
-                    ids = np.concatenate([held["id"][left], held["id"][right]])
-                    full = np.zeros((len(ids), len(ids)), bool)
-                    full[: len(left), len(left) :] = found
-                    full |= full.T
-                    n = full @ np.concatenate([held["copies"][left], held["copies"][right]])
-                some = full.any(axis=1)
-                out.append(pd.DataFrame({"id": ids[some], "n_links": n[some].astype(np.int64), "root": smallest(full, ids)[some]}))
+                ids = held["id"]
+                roots = smallest(found, ids[left], ids[right])
+                for linked, own, other, root in ((found, left, right, roots[0]), (found.T, right, left, roots[1])):
+                    some = linked.any(axis=1)
+                    out.append(pd.DataFrame({group: held[group][start], "id": ids[own][some], "n_links": counted(linked[some], held["copies"][other]), "root": root[some]}))
+                    if a == b:
+                        break
             if out:
                 yield pd.concat(out, ignore_index=True)
 
-    return dealt.mapInPandas(find, "id long, n_links long, root long")
+    return dealt.mapInPandas(find, f"{group} long, id long, n_links long, root long")
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -7,11 +7,11 @@ number of rows fitting in one task or on the driver.
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,10 +28,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where it is unset (tests, local runs) a temporary one is set, and removed at exit.
+    Where it is unset and everything runs in one process (tests, local runs), a temporary one is set, and removed at exit;
+    a cluster without a shared folder is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="sluice-")
         atexit.register(shutil.rmtree, configured, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", configured)
@@ -39,29 +43,59 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
+#: Paths staged inside the scratch blocks that are open, innermost last.
+_made: list[list[str]] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def noted(path: str) -> str:
+    """Marks a path of the shared folder for deletion at the end of the innermost scratch block."""
+    if _made:
+        _made[-1].append(path)
+    return path
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Writes inside delete their shuffle files when they are done: what was written stands for them."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = noted(f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}")
+    with freed_shuffles(df.sparkSession):
+        df.write.parquet(path)
     read = df.sparkSession.read.schema(df.schema).parquet(path)
     read.staged_at = path
     return read
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(found, True)
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes staged tables that no later step reads."""
     for df in frames:
-        jvm = df.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.staged_at)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        delete(df.sparkSession, df.staged_at)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's context cleaner drop shuffle files of finished phases before the next phase writes its own."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end whatever was staged inside: for callers that have written the results by then."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            delete(spark, path)
 
 
 def text_bytes(text: Column) -> Column:
@@ -100,12 +134,12 @@ def running(df: DataFrame, group: str, number: str, order: list[str], n_slices:
     within a slice needs anyway. No group meets in one task, however large.
     """
     w = F.col(weight) if weight else F.lit(1)
-    cut = df.withColumn("__slice", F.shiftright(F.col(number) * F.lit(n_slices), 32).cast("int"))
-    sums = cut.groupBy(F.col(group).alias("__g"), F.col("__slice").alias("__s")).agg(F.sum(w).cast("long").alias("__sum"))
-    by_group = Window.partitionBy("__g")
-    before = by_group.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("__g", "__s", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"), F.sum("__sum").over(by_group).alias("total"))
-    within = Window.partitionBy(group, "__slice").orderBy(number, *order).rowsBetween(Window.unboundedPreceding, 0)
-    own = cut.withColumn("__upto", F.sum(w).over(within))
-    joined = own.join(offsets.hint("merge"), (F.col(group) == F.col("__g")) & (F.col("__slice") == F.col("__s")))
-    return joined.withColumn("start", F.col("__before") + F.col("__upto") - w).drop("__slice", "__g", "__s", "__before", "__upto")
+    cut = df.withColumn("__run_at", F.shiftright(F.col(number) * F.lit(n_slices), 32).cast("int"))
+    sums = cut.groupBy(F.col(group).alias("__run_group"), F.col("__run_at").alias("__run_slice")).agg(F.sum(w).cast("long").alias("__run_sum"))
+    by_group = Window.partitionBy("__run_group")
+    before = by_group.orderBy("__run_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("__run_group", "__run_slice", F.coalesce(F.sum("__run_sum").over(before), F.lit(0)).alias("__run_before"), F.sum("__run_sum").over(by_group).alias("total"))
+    within = Window.partitionBy(group, "__run_at").orderBy(number, *order).rowsBetween(Window.unboundedPreceding, 0)
+    own = cut.withColumn("__run_upto", F.sum(w).over(within))
+    joined = own.join(offsets.hint("merge"), (F.col(group) == F.col("__run_group")) & (F.col("__run_at") == F.col("__run_slice")))
+    return joined.withColumn("start", F.col("__run_before") + F.col("__run_upto") - w).drop("__run_at", "__run_group", "__run_slice", "__run_before", "__run_upto")

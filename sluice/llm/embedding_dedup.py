@@ -8,10 +8,11 @@ the threshold, simulated on the sample; closer links are found more often. A pai
 id visits the cell of the larger, so counts agree on both sides. Every found pair is verified in double precision.
 
 Equal vectors are one row with a count until the end. Pairs are checked in blocks (blocks.links): a cell with a third of
-all vectors spreads over all tasks, and no pair is emitted.
+all vectors spreads over all tasks, and no pair is emitted. Through the shuffle vectors go as they were given (four bytes a
+component for floats); they become doubles of length one only in the block that compares them.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, null labels and null ids link with nothing;
-vectors of different length are not compared; lengths after the `most_indexes` most frequent have no index of their own: all
+vectors of one component point one way or the other: those of one label and sign are one class; vectors of different length are not compared; lengths after the `most_indexes` most frequent have no index of their own: all
 vectors of such a length and label meet in one cell, which is exact; rows repeating an id and vector count as copies of each other; an empty
 table gives no rows; extra columns are ignored.
 """
@@ -43,6 +44,9 @@ def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.n
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one, in double precision; scaled first, so that no square overflows or vanishes."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -101,12 +105,12 @@ class MultiIndex:
         return index
 
 
-def alike(threshold: float):
+def alike(threshold: float, kind: type):
     """Pairs of vectors with a cosine of at least the threshold; one of a pair has to be at home in the cell."""
 
     def check(held: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
         def matrix(at: np.ndarray) -> np.ndarray:
-            return np.frombuffer(b"".join(held["raw"][at]), dtype=np.float64).reshape(len(at), -1)
+            return unit(np.frombuffer(b"".join(held["raw"][at]), dtype=kind).reshape(len(at), -1))
 
         close = matrix(left) @ matrix(right).T >= threshold
         (il, bl, sl), (ir, br, sr) = ((held["id"][at], held["base"][at], held["space"][at]) for at in (left, right))
@@ -119,58 +123,61 @@ def alike(threshold: float):
 
 def link(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.99, sample_rows: int = 8_192, per_cell: int = 64, most_codes: int = 256, most_indexes: int = 64, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
-    spark = vectors.sparkSession
     v = F.col("v")
-    rows = vectors.select(F.col(key).alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("label"))
-    norm = F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
+    single = dict(vectors.dtypes)[vector] == "array<float>"
+    kind, array = (np.float32, "array<float>") if single else (np.float64, "array<double>")
+    rows = vectors.select(F.col(key).alias("vec_id"), F.col(vector).cast(array).alias("v"), F.col(label).alias("label"))
     finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & v.isNotNull() & (F.size(v) > 1) & finite & (norm > 0) & (norm < float("inf"))
-    # The class of a vector: its label and components, as text.
-    digest = F.sha2(F.concat_ws(",", F.col("label").cast("string"), v.cast("array<string>")), 256)
+    good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0)
+    # The class of a vector: its label and components, as text; of a single component the sign.
+    parts = F.when(F.size(v) == 1, F.transform(v, lambda x: F.signum(x).cast("string"))).otherwise(v.cast("array<string>"))
+    digest = F.sha2(F.concat_ws(",", F.col("label").cast("string"), parts), 256)
     rows = C.staged(rows.withColumn("good", F.coalesce(good, F.lit(False))).withColumn("digest", F.when(F.col("good"), digest)).withColumn("v", F.when(F.col("good"), v)), "vectors")
     classes = rows.where("good").groupBy("digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
     classes = C.staged(classes.withColumn("space", F.xxhash64("label", F.size("v"))).drop("label"), "vector-classes")
-    sizes = [r["n"] for r in classes.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(most_indexes + 1).collect()]
+    long = classes.where(F.size("v") > 1)
+    sizes = [r["n"] for r in long.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(most_indexes + 1).collect()]
     indexed, others = sizes[:most_indexes], len(sizes) > most_indexes
-    n = classes.count()
-    chunk = int(np.clip(n // (8 * C.shuffle_partitions(spark)), 256, 8192))
+    n = long.count()
     found = None
     for size in [*indexed, None] if others else indexed:
         if size is None:
-            own, index = classes.where(~F.size("v").isin(indexed)), None
+            own, index = long.where(~F.size("v").isin(indexed)), None
         else:
-            own = classes.where(F.size("v") == size)
+            own = long.where(F.size("v") == size)
             drawn = own.orderBy(F.md5("digest"), "digest").limit(sample_rows).select("v").toPandas()
             x = unit(np.stack(drawn["v"].to_numpy()))
             k = int(np.clip(np.ceil(np.sqrt(n / per_cell)), 4, most_codes))
-            index = spark.sparkContext.broadcast(MultiIndex.fit(x, k, threshold, recall))
+            index = vectors.sparkSession.sparkContext.broadcast(MultiIndex.fit(x, k, threshold, recall))
 
         def visit(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                for at in range(0, len(batch), 1024):
-                    part = batch.iloc[at : at + 1024]
+                for at in range(0, len(batch), 512):
+                    part = batch.iloc[at : at + 512]
                     if index is None:
-                        x = [unit(np.asarray(v)[None])[0] for v in part["v"]]
                         cell, visited = np.full(len(part), -1), [[-1]] * len(part)
                     else:
-                        x = unit(np.stack(part["v"].to_numpy()))
-                        cell, visited = index.value.visits(x)
-                    count = [len(c) for c in visited]
-                    place = np.repeat(np.arange(len(part)), count)
+                        cell, visited = index.value.visits(unit(np.stack(part["v"].to_numpy())))
+                    place = np.repeat(np.arange(len(part)), [len(c) for c in visited])
                     cells = np.concatenate([np.asarray(c, dtype=np.int64) for c in visited])
-                    raw = np.array([r.tobytes() for r in x], dtype=object)
-                    yield pd.DataFrame({"space": part["space"].to_numpy()[place], "cell": cells, "id": part["id"].to_numpy()[place], "copies": part["copies"].to_numpy()[place], "base": cells == cell[place], "raw": raw[place]})
+                    raw = np.array([np.asarray(v, kind).tobytes() for v in part["v"]], dtype=object)
+                    for low in range(0, len(cells), 4096):  # rows that a yield holds
+                        some = place[low : low + 4096]
+                        yield pd.DataFrame({"space": part["space"].to_numpy()[some], "cell": cells[low : low + 4096], "id": part["id"].to_numpy()[some], "copies": part["copies"].to_numpy()[some], "base": cells[low : low + 4096] == cell[some], "raw": raw[some]})
 
         visits = own.select("space", "id", "copies", "v").mapInPandas(visit, "space long, cell long, id long, copies long, base boolean, raw binary")
-        part = B.links(visits.withColumn("grp", F.xxhash64("space", "cell")), "grp", ["space", "base", "raw"], alike(threshold), chunk)
+        part = B.links(visits.withColumn("grp", F.xxhash64("space", "cell")), "grp", ["space", "base", "raw"], alike(threshold, kind), size="raw")
         found = part if found is None else found.unionByName(part)
+    linked_classes = classes.select("digest", "id", "copies")
     if found is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    found = C.staged(found, "vector-links")
-    linked = found.groupBy("id").agg(F.sum("n_links").alias("n_links"))
-    joined = B.components(found.select("id", "root"), "id", "root")
-    reps = classes.select("digest", "id", "copies").join(linked.hint("merge"), "id", "left").join(joined.hint("merge"), F.col("id") == F.col("node"), "left")
-    reps = C.staged(reps.select(F.col("digest").alias("d"), (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "vector-reps")
+        reps = linked_classes.select(F.col("digest").alias("d"), (F.col("copies") - 1).alias("n_links"), F.col("id").alias("component_id"))
+    else:
+        found = C.staged(found, "vector-links")
+        linked = found.groupBy("id").agg(F.sum("n_links").alias("n_links"))
+        joined = B.components(found.select("id", "root"), "id", "root")
+        reps = linked_classes.join(linked.hint("merge"), "id", "left").join(joined.hint("merge"), F.col("id") == F.col("node"), "left")
+        reps = reps.select(F.col("digest").alias("d"), (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    reps = C.staged(reps, "vector-reps")
     out = rows.select("vec_id", "digest").join(reps.hint("merge"), F.col("digest") == F.col("d"), "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -199,9 +199,10 @@ def spans(docs: DataFrame, length: int = 50, bucket_bytes: int = 6 << 20, key: s
     n = int(max(C.shuffle_partitions(spark), -(-size // bucket_bytes)))
     name = f"passages_{uuid.uuid4().hex}"
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
-    rows.repartition(n, "bucket").write.bucketBy(n, "bucket").sortBy("bucket").option("compression", "zstd").option("path", f"{C.shared_dir(spark)}/{name}").saveAsTable(name)
-    C.free_shuffles(spark)
+    with C.freed_shuffles(spark):
+        rows.repartition(n, "bucket").write.bucketBy(n, "bucket").sortBy("bucket").option("compression", "zstd").option("path", C.noted(f"{C.shared_dir(spark)}/{name}")).saveAsTable(name)
     filed = spark.table(name)
+    spark.sql(f"drop table {name}")  # the name alone: the files are external
 
     def opened(part: pd.DataFrame) -> tuple[Classes, np.ndarray, list[bytes]]:
         texts = [bytes(t) for t in part["raw"]]
@@ -346,23 +347,19 @@ def spans(docs: DataFrame, length: int = 50, bucket_bytes: int = 6 << 20, key: s
 
     own = filed.groupBy("bucket")
     shared_grams = C.staged(by_dest(own.applyInPandas(grams, MESSAGE)).groupBy("dest").applyInPandas(shared, MESSAGE), "passage-grams")
-    C.free_shuffles(spark)
     sent = own.cogroup(told(shared_grams)).applyInPandas(regions, MESSAGE)
     owned = C.staged(by_dest(sent).groupBy("dest").applyInPandas(owners, MESSAGE), "passage-owners")
     C.discard(shared_grams)
-    C.free_shuffles(spark)
     known = C.staged(own.cogroup(told(owned)).applyInPandas(bytes_of, MESSAGE), "passage-regions")
     C.discard(owned)
-    C.free_shuffles(spark)
     sorted_out = by_dest(known.where(F.col("dest") >= n)).groupBy("dest").applyInPandas(refine, MESSAGE)
     covered = C.staged(known.where(F.col("dest") < n).unionByName(sorted_out), "passage-spans")
     C.discard(known)
-    C.free_shuffles(spark)
     return own.cogroup(told(covered)).applyInPandas(remove, "doc_id long, n_bytes long, removed array<struct<start: long, end: long>>, kept binary")
 
 
 def row_key(doc_id: int, text: bytes) -> int:
-    return xxhash.xxh64_intdigest(text, seed=int(doc_id) & (1 << 63) - 1)
+    return xxhash.xxh64_intdigest(text, seed=int(doc_id) & (1 << 64) - 1)
 
 
 def merged(first: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
