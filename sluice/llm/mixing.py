@@ -3,13 +3,14 @@
 Each source's words, its documents in a seeded order, form a stream that is cut into blocks of equal length.
 Seats of the mix are apportioned to the sources by highest quotients weight / (2k - 1); seats in that order are
 dealt to shards, so every shard has an integer quota per source and the quotas of the first j shards are the
-apportionment of the first j shards' seats. Then a seeded choice takes each source's quota of blocks: every
-block floor(quota / blocks) times, and the first (quota mod blocks) of a seeded order once more.
+apportionment of the first j shards' seats; the seats of a source at its limit are spread evenly in the same way. Then every
+shard draws its quota of blocks: a source's blocks stand in a seeded order, and the shards take them in turn, from the
+front again after the last one. So every block is taken floor(quota / blocks) times, and the first (quota mod blocks) once more.
 
 Targets: the mix holds `share` of all words, split by weight; none exceeds `limit` times its source's words, and
 the excess is split again by weight (closed form: sources sorted by limit / weight). Sources at the limit are taken whole.
 
-Native: DataFrame functions alone. Streams are positioned slice by slice (common.running); a document finds the
+Native: DataFrame functions alone. Streams, seats and blocks are ordered slice by slice (common.running); a document finds the
 words it gives from the cumulated extra words of the blocks where it starts and ends, so long documents and
 documents within one block cost the same.
 
@@ -27,11 +28,14 @@ from pyspark.sql.window import Window
 
 from . import common as C
 
+CUTS = 64  #: slices of the seats and of a source's blocks
+
 
 @dataclass(frozen=True)
 class Mix:
     rows: DataFrame  #: one row per document
-    quotas: DataFrame  #: shard, source, blocks: of the sources below their limit
+    quotas: DataFrame  #: shard, source, blocks
+    blocks: DataFrame  #: source, at, length, shards: which shards took the block, once for each time
     targets: DataFrame  #: source, size, weight, target
 
 
@@ -54,7 +58,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, limit: flo
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, limit: float = 2.0, shards: int = 16, seats_per_shard: int = 512, least_seats: int = 16, seed: int = 23, source: str = "source", key: str = "doc_id", text: str = "text") -> Mix:
     """rows: doc_id, size, source_size, target, taken, copies (how often the block in which the document starts is taken),
-    source, text_crc32. seats_per_shard grows where the smallest weight would get fewer than least_seats."""
+    shards (by which shards, ascending), source, text_crc32. seats_per_shard grows where the smallest weight would get fewer than least_seats."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), C.group_key(F.col(source)).alias("__group"), C.word_count(F.col(text)).alias("size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"))
     rows = rows.withColumn("__key", C.seeded_key(seed, F.col("doc_id"), F.col("text_crc32"), F.col("size")))
@@ -77,26 +81,40 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     plan = C.staged(plan, "mix-plan")
     # No source gets more than w (seats + n/2) / sum(w) + 1/2 seats; so many candidates suffice.
     most = F.floor(F.col("open_w") * (F.col("seats") + F.col("n_open") / 2) / F.col("sum_w") + 0.5).cast("long")
-    seats = plan.where("open_w > 0").select("__g", "source", "seats", "per_shard", "weight", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(most, F.lit(1)))).alias("k"))
-    seats = seats.withColumn("seat", F.row_number().over(Window.orderBy((F.col("weight") / (2 * F.col("k") - 1)).desc(), "__g", "k"))).where("seat <= seats")
-    quotas = seats.groupBy(((F.col("seat") - 1) / F.col("per_shard")).cast("int").alias("shard"), "__g").agg(F.first("source").alias("source"), F.count("*").alias("blocks"))
-    won = quotas.groupBy(F.col("__g").alias("__won")).agg(F.sum("blocks").alias("quota"))
-    plan = plan.join(won, F.col("__g") == F.col("__won"), "left").drop("__won")
+    seats = plan.where("open_w > 0").select("__g", "seats", "per_shard", "weight", "min_w", F.lit(0).alias("__all"), F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(most, F.lit(1)))).alias("k"))
+    # In order of the quotients: weight / (2k - 1) falls as its inverse, scaled to 32 bits, rises.
+    bound = F.col("seats") * 2 + F.lit(3)
+    seats = seats.withColumn("__quotient", -F.col("weight") / (2 * F.col("k") - 1)).withColumn("__number", F.least(F.lit((1 << 32) - 1), F.floor((2 * F.col("k") - 1) / F.col("weight") * F.col("min_w") / bound * F.lit(1 << 32))).cast("long"))
+    seats = C.running(seats, "__all", "__number", ["__quotient", "__g", "k"], CUTS).where("start < seats")
+    won = C.staged(seats.select("__g", (F.col("k") - 1).alias("draw"), F.expr("start div per_shard").cast("int").alias("shard")), "mix-seats")
+    counts = won.groupBy(F.col("__g").alias("__won")).agg(F.count("*").alias("quota"))
+    plan = plan.join(counts, F.col("__g") == F.col("__won"), "left").drop("__won")
     plan = plan.withColumn("quota", F.when(F.col("capped"), F.floor(F.col("blocks") * F.lit(float(limit)))).otherwise(F.least(F.coalesce("quota", F.lit(0)), F.floor(F.col("blocks") * F.lit(float(limit))))))
     plan = plan.withColumn("base", F.coalesce(F.expr("quota div nullif(blocks, 0)"), F.lit(0))).withColumn("more", F.coalesce(F.expr("quota % nullif(blocks, 0)"), F.lit(0)))
-    plan = C.staged(plan.select("__g", F.col("size").alias("source_size"), "target", "block", "blocks", "base", "more"), "mix-quota")
-    blocks = plan.where("more > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("at"))
-    blocks = blocks.withColumn("chosen", (F.row_number().over(Window.partitionBy("__g").orderBy(C.seeded_key(seed, F.col("__g"), F.col("at")), "at")) <= F.col("more")).cast("long"))
-    length = F.least(F.col("block"), F.col("source_size") - F.col("at") * F.col("block"))
-    upto = Window.partitionBy("__g").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("__g", "at", "chosen", F.coalesce(F.sum(F.col("chosen") * length).over(upto), F.lit(0)).alias("extra"))
+    plan = C.staged(plan.select("__g", "source", F.col("size").alias("source_size"), "target", "capped", "block", "blocks", "quota", "base", "more"), "mix-quota")
+    full = plan.where("capped and quota > 0").select("__g", "quota", F.explode(F.sequence(F.lit(0).cast("long"), F.col("quota") - 1)).alias("draw"))
+    full = full.select("__g", "draw", F.expr(f"cast({shards} * (2 * draw + 1) div (2 * quota) as int)").alias("shard"))
+    draws = won.unionByName(full).join(plan.select(F.col("__g").alias("__d"), "source", "quota", "blocks"), F.col("__g") == F.col("__d")).where("draw < quota")
+    quotas = draws.groupBy("shard", "__g").agg(F.first("source").alias("source"), F.count("*").alias("blocks")).drop("__g")
+    taken_by = draws.groupBy("__g", F.expr("draw % blocks").alias("place")).agg(F.array_sort(F.collect_list("shard")).alias("shards"))
+    blocks = plan.where("blocks > 0").select("__g", "source", "block", "blocks", "more", "source_size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("at"))
+    blocks = blocks.withColumn("__key", C.seeded_key(seed, F.col("__g"), F.col("at"))).withColumn("__number", C.key_number(F.col("__key")))
+    blocks = C.running(blocks, "__g", "__number", ["__key", "at"], CUTS).withColumnRenamed("start", "place").drop("total")
+    blocks = blocks.withColumn("chosen", (F.col("place") < F.col("more")).cast("long"))
+    blocks = blocks.withColumn("length", F.least(F.col("block"), F.col("source_size") - F.col("at") * F.col("block")))
+    blocks = blocks.withColumn("__number", F.expr("cast((at << 32) div blocks as long)")).withColumn("__more", F.col("chosen") * F.col("length"))
+    blocks = C.running(blocks, "__g", "__number", ["at"], CUTS, weight="__more").withColumnRenamed("start", "extra")
+    told = taken_by.select(F.col("__g").alias("__t"), F.col("place").alias("__p"), "shards").hint("merge")
+    blocks = blocks.join(told, (F.col("__g") == F.col("__t")) & (F.col("place") == F.col("__p")), "left")
+    blocks = C.staged(blocks.select("__g", "source", "at", "chosen", "extra", "length", F.coalesce("shards", F.array().cast("array<int>")).alias("shards")), "mix-blocks")
     # One row per source: broadcast when their number is small, else a join whose hot sources AQE splits.
     placed = C.running(rows, "__group", "__number", ["__key", "doc_id", "text_crc32", "size"], C.slices(spark, rows.count()), weight="size")
-    placed = placed.join(F.broadcast(plan) if plan.count() <= 10_000 else plan, F.col("__group") == F.col("__g")).drop("__g", "total")
+    known = plan.select("__g", "source_size", "target", "block", "base")
+    placed = placed.join(F.broadcast(known) if plan.count() <= 10_000 else known, F.col("__group") == F.col("__g")).drop("__g", "total")
     placed = placed.withColumn("first", F.expr("start div block")).withColumn("last", F.expr("greatest(start, start + size - 1) div block"))
 
     def at(name: str) -> DataFrame:
-        return blocks.select(F.col("__g").alias(f"g_{name}"), F.col("at").alias(f"at_{name}"), F.col("chosen").alias(f"c_{name}"), F.col("extra").alias(f"e_{name}"))
+        return blocks.select(F.col("__g").alias(f"g_{name}"), F.col("at").alias(f"at_{name}"), F.col("chosen").alias(f"c_{name}"), F.col("extra").alias(f"e_{name}"), F.col("shards").alias(f"s_{name}"))
 
     for name in ("first", "last"):
         placed = placed.join(at(name), (F.col("__group") == F.col(f"g_{name}")) & (F.col(name) == F.col(f"at_{name}")), "left")
@@ -105,8 +123,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
         return F.coalesce(F.col(f"e_{name}") + F.col(f"c_{name}") * (position - F.col(name) * F.col("block")), F.lit(0))
 
     taken = F.col("base") * F.col("size") + F.when(F.col("size") > 0, extra("last", F.col("start") + F.col("size")) - extra("first", F.col("start"))).otherwise(0)
-    out = placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), (F.col("base") + F.coalesce("c_first", F.lit(0))).cast("int").alias("copies"), "source", "text_crc32")
-    return Mix(out, quotas.drop("__g"), plan)
+    out = placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), (F.col("base") + F.coalesce("c_first", F.lit(0))).cast("int").alias("copies"), F.coalesce("s_first", F.array().cast("array<int>")).alias("shards"), "source", "text_crc32")
+    return Mix(out, quotas, blocks.select("source", "at", "length", "shards"), plan)
 
 
 def resample(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", **options) -> DataFrame:

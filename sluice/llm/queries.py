@@ -32,7 +32,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.rows.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+    return mixed.rows.select("doc_id", "size", "source_size", "target", "taken", "copies", F.array_join("shards", ",").alias("shards"), "source")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,10 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.verdicts(table(spark, sf_dir, "documents"), exact_dedup.DigestIndex.temporary(spark))
+    index = exact_dedup.DigestIndex.temporary(spark)
+    found = exact_dedup.verdicts(table(spark, sf_dir, "documents"), index, batch="documents")
+    index.forget()
+    return found
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
