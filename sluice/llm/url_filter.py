@@ -1,7 +1,7 @@
 """URL filters: exact rule lists in Bloom filter cascades.
 
-Rules are (host, path) keys to block or to allow. A url's candidate keys are every host suffix at a label joined to every
-prefix of its path as long as some rule's path. The universe of keys is that of the corpus. Level 0 of a cascade encodes
+Rules are (host, path) keys to block or to allow. A url's candidate keys are its host's suffixes of as many labels as some rule's
+host has, joined to the prefixes of its path as long as some rule's path: their number depends on the rules, not on the url. The universe of keys is that of the corpus. Level 0 of a cascade encodes
 the listed keys; level 1 the universe's keys that pass level 0 without being listed; level 2 the listed keys that
 pass level 1; and so on, until no key of either kind is left over. Over that universe, membership is
 exact: a key is listed when the first level that refuses it has an odd number. Lookups need no join.
@@ -33,11 +33,24 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(F.regexp_extract(url, parts, 2), F.lit(""))
 
 
-def keys(host: str, path: str, lengths: list[int]) -> Iterator[str]:
+@dataclass(frozen=True)
+class Shape:
+    """How many labels the rules' hosts have, and how long their paths are."""
+
+    labels: tuple[int, ...]
+    lengths: tuple[int, ...]
+
+    @classmethod
+    def of(cls, rules: list[tuple[str, str, str]]) -> Shape:
+        return cls(tuple(sorted({h.count(".") + 1 for _, h, _ in rules})), tuple(sorted({len(p) for _, _, p in rules})))
+
+
+def keys(host: str, path: str, shape: Shape) -> Iterator[str]:
     """Candidate keys, longest first; of equally long ones the longer host first."""
-    labels = host.split(".")
-    hosts = [".".join(labels[i:]) for i in range(len(labels))]
-    found = [(len(h) + n, len(h), h + "\0" + path[:n]) for h in hosts if h for n in lengths if len(path) >= n]
+    # The part before the last labels, if any, comes first and in one piece; it is in no candidate.
+    parts = host.rsplit(".", max(shape.labels, default=1))
+    hosts = [".".join(parts[-n:]) for n in shape.labels if n <= len(parts)]
+    found = [(len(h) + n, len(h), h + "\0" + path[:n]) for h in hosts if h for n in shape.lengths if len(path) >= n]
     for _, _, key in sorted(found, key=lambda x: (-x[0], -x[1])):
         yield key
 
@@ -121,15 +134,16 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], key: str = "page_
     """rules: (verdict, host, path). One row per page: key, host, path, rule, verdict."""
     spark = pages.sparkSession
     host, path = host_and_path(F.col(url))
-    rows = pages.select(F.col(key).alias(key), host.alias("host"), path.alias("path"))
-    lengths = sorted({len(p) for _, _, p in rules})
+    rows = pages.select(F.col(key).alias("__page"), host.alias("host"), path.alias("path"))
+    shape = Shape.of(rules)
 
     @F.pandas_udf("array<string>")
     def candidates(hosts: pd.Series, paths: pd.Series) -> pd.Series:
-        return pd.Series([list(keys(h, p, lengths)) for h, p in zip(hosts, paths, strict=True)])
+        return pd.Series([list(keys(h, p, shape)) for h, p in zip(hosts, paths, strict=True)])
 
-    # Paths shortened to the longest rule's length: equal candidates of a host fall together before Python sees them.
-    short = rows.where("host <> ''").select("host", F.substring("path", 1, max([0, *lengths])).alias("path")).distinct()
+    # Hosts and paths cut to what the longest rule can reach: equal candidates fall together before Python sees them.
+    short_host, short_path = F.substring_index("host", ".", -max(shape.labels, default=1)), F.substring("path", 1, max(shape.lengths, default=0))
+    short = rows.where("host <> ''").select(short_host.alias("host"), short_path.alias("path")).distinct()
     universe = short.select(F.explode(candidates("host", "path")).alias("key"))
     cascades = {}
     for verdict in sorted({v for v, _, _ in rules}):
@@ -141,8 +155,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], key: str = "page_
     def decide(hosts: pd.Series, paths: pd.Series) -> pd.DataFrame:
         out = []
         for h, p in zip(hosts, paths, strict=True):
-            hit = next(((k.replace("\0", "", 1), v) for k in keys(h, p, lengths) for v, c in shared.value.items() if k in c), (None, default))
+            hit = next(((k.replace("\0", "", 1), v) for k in keys(h, p, shape) for v, c in shared.value.items() if k in c), (None, default))
             out.append(hit)
         return pd.DataFrame(out, columns=["rule", "verdict"])
 
-    return rows.withColumn("__d", decide("host", "path")).select(key, "host", "path", F.col("__d.rule").alias("rule"), F.col("__d.verdict").alias("verdict"))
+    hit = decide(short_host, short_path)
+    return rows.withColumn("__d", hit).select(F.col("__page").alias(key), "host", "path", F.col("__d.rule").alias("rule"), F.col("__d.verdict").alias("verdict"))
