@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,18 +14,36 @@ from pyspark.sql.window import Window
 def token_batches(rows: DataFrame, shard: str, order: str, tokens: str, budget: int = 100_000, most: int = 256) -> DataFrame:
     """shard, batch, n_texts, n_tokens: greedy batches in order; a batch closes when the next text would pass the budget or the row limit.
 
-    A shard's counts are folded in order, so shards are to be of bounded size.
+    A shard's rows pass through one task in order; it holds a batch of rows and the open text batch, whatever the shard's size.
     """
-    lists = rows.groupBy(shard).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(tokens).cast("long").alias("t")))).alias("l"))
-    empty = F.struct(F.array().cast("array<struct<n: int, t: bigint>>").alias("done"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("t"))
+    kind = dict(rows.dtypes)[shard]
+    sorted_rows = rows.select(shard, order, F.col(tokens).cast("long").alias("tokens")).repartition(shard).sortWithinPartitions(shard, order)
 
-    def step(a, x):
-        full = (a["n"] > 0) & ((a["t"] + x["t"] > budget) | (a["n"] >= most))
-        done = F.when(full, F.concat(a["done"], F.array(F.struct(a["n"].alias("n"), a["t"].alias("t"))))).otherwise(a["done"])
-        return F.struct(done.alias("done"), F.when(full, 1).otherwise(a["n"] + 1).alias("n"), F.when(full, x["t"]).otherwise(a["t"] + x["t"]).alias("t"))
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, place, n, t = None, 0, 0, 0
+        for batch in batches:
+            out = []
+            for own, part in batch.groupby(shard, sort=False, dropna=False)["tokens"]:
+                if n and own != now:
+                    out.append((now, place, n, t))
+                if own != now:
+                    now, place, n, t = own, 0, 0, 0
+                values = part.to_numpy()
+                total, at = np.concatenate([[0], np.cumsum(values)]), 0
+                while at < len(values):
+                    # As many more texts as fit; a batch takes one in any case.
+                    fits = int(np.searchsorted(total, total[at] + budget - t, side="right")) - 1 - at
+                    take = min(max(fits, 0 if n else 1), most - n, len(values) - at)
+                    n, t, at = n + take, t + int(total[at + take] - total[at]), at + take
+                    if at < len(values):
+                        out.append((now, place, n, t))
+                        place, n, t = place + 1, 0, 0
+            if out:
+                yield pd.DataFrame(out, columns=[shard, "batch", "n_texts", "n_tokens"])
+        if n:
+            yield pd.DataFrame([(now, place, n, t)], columns=[shard, "batch", "n_texts", "n_tokens"])
 
-    folded = lists.select(shard, F.aggregate("l", empty, step).alias("a"))
-    return folded.select(shard, F.posexplode(F.concat("a.done", F.array(F.struct(F.col("a.n").alias("n"), F.col("a.t").alias("t"))))).alias("batch", "b")).select(shard, "batch", F.col("b.n").alias("n_texts"), F.col("b.t").alias("n_tokens"))
+    return sorted_rows.mapInPandas(fold, f"{shard} {kind}, batch int, n_texts int, n_tokens long")
 
 
 def rolling_budget(events: DataFrame, group: str, ts: str, amount: str, seconds: int = 60) -> DataFrame:

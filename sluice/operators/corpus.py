@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sluice.operators.ordered import cutoffs, running, up_to
+
 #: Inclusive length bounds of each source.
 BOUNDS = {"ms_marco": (150, 6000), "fetaqa": (50, 8000), "cosqa": (20, 6000), "aeslc": (200, 5000), "cnn": (200, 6000)}
 PREFIX = 6000
@@ -29,8 +31,9 @@ def shuffle_key(seed: int, key: Column) -> Column:
 
 
 def first_occurrence(docs: DataFrame, text: str, order: str) -> DataFrame:
-    """Adds copy: 1 for the first row of a text in the given order, 2, 3 ... for later ones."""
-    return docs.withColumn("copy", F.row_number().over(Window.partitionBy(text).orderBy(order)))
+    """Adds copy: 1 for the first row of a text in the given numeric order, 2, 3 ... for later ones. Digests are compared, not texts."""
+    keyed = docs.withColumn("__digest", F.sha2(F.coalesce(F.concat(F.lit("v"), F.col(text)), F.lit("n")), 256))
+    return running(keyed, ["__digest"], order).withColumn("copy", (F.col("before") + 1).cast("int")).drop("before", "__digest")
 
 
 def topup(docs: DataFrame, text: str, order: str, n: int) -> DataFrame:
@@ -40,14 +43,9 @@ def topup(docs: DataFrame, text: str, order: str, n: int) -> DataFrame:
 
 
 def distinct_rank(docs: DataFrame, text: str, order: str) -> DataFrame:
-    """Adds copy and rank: how many distinct texts came before this row. Counted slice by slice of the order."""
+    """Adds copy and rank: how many distinct texts came before this row."""
     ranked = first_occurrence(docs, text, order)
-    cut = ranked.withColumn("__slice", F.floor(F.col(order) / 10_000)).withColumn("__first", (F.col("copy") == 1).cast("long"))
-    sums = cut.groupBy("__slice").agg(F.sum("__first").alias("__n"))
-    before = sums.select(F.col("__slice").alias("__s"), F.coalesce(F.sum("__n").over(Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    within = Window.partitionBy("__slice").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = cut.withColumn("__in", F.coalesce(F.sum("__first").over(within), F.lit(0))).join(before, F.col("__slice") == F.col("__s"))
-    return out.withColumn("rank", F.col("__before") + F.col("__in")).drop("__slice", "__first", "__s", "__before", "__in")
+    return running(ranked, [], order, (F.col("copy") == 1).cast("long")).withColumnRenamed("before", "rank")
 
 
 def template_cycle(docs: DataFrame, text: str, order: str, templates: int = 5) -> DataFrame:
@@ -94,20 +92,24 @@ def position(seed: int, key: Column) -> Column:
     return F.element_at(F.array(F.lit("start"), F.lit("middle"), F.lit("end")), (number % 3 + 1).cast("int"))
 
 
-def sentence_starts(text: Column) -> Column:
-    """0-based starts of sentences: the text's start and what follows . ! or ? and white space."""
-    parts = F.split(text, r"(?<=[.!?])(?=\s)")
-    lengths = F.transform(parts, lambda p: F.length(p))
-    starts = F.transform(lengths, lambda _, i: F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda s, x: s + x))
-    return F.transform(starts, lambda s: s + F.when(s > 0, F.length(F.regexp_extract(F.substr(text, s + 1), r"^\s+", 0))).otherwise(0))
+def sentence_start(text: Column, number: Column) -> Column:
+    """The 0-based start of sentence number modulo the sentences: the text's start, or what follows . ! or ? and white space."""
+
+    def start(parts: Column) -> Column:
+        k = (number % F.size(parts)).cast("int")
+        before = F.aggregate(F.slice(parts, F.lit(1), k), F.lit(0), lambda n, p: n + F.length(p))
+        own = F.element_at(parts, k + 1)
+        return before + F.when(k > 0, F.length(own) - F.length(F.regexp_replace(own, r"^\s+", ""))).otherwise(0)
+
+    # A one-element array binds the parts, so that the text is split once.
+    return F.element_at(F.transform(F.array(F.split(text, r"(?<=[.!?])(?=\s)")), start), 1)
 
 
 def insert(context: Column, attack: Column, where: Column, seed: int, key: Column) -> Column:
     """The attack on its own line at the start, the end, or before a seeded sentence."""
-    starts = sentence_starts(context)
     number = F.conv(F.substring(shuffle_key(seed, key), 17, 8), 16, 10).cast("long")
-    at = F.element_at(starts, (number % F.size(starts) + 1).cast("int"))
-    middle = F.concat(F.substr(context, F.lit(1), at), F.lit("\n"), attack, F.lit("\n"), F.substr(context, at + 1))
+    at = sentence_start(context, number)
+    middle = F.element_at(F.transform(F.array(at), lambda a: F.concat(F.substr(context, F.lit(1), a), F.lit("\n"), attack, F.lit("\n"), F.substr(context, a + 1))), 1)
     return F.when(where == "start", F.concat_ws("\n", attack, context)).when((where == "end") | (F.length(stripped(context)) == 0), F.concat_ws("\n", context, attack)).otherwise(middle)
 
 
@@ -120,18 +122,21 @@ def twins(docs: DataFrame, seed: int, key: str = "doc_id") -> DataFrame:
 
 
 def text_split(docs: DataFrame, text: str, seed: int, train: float = 0.8) -> DataFrame:
-    """Adds split: every distinct text on one side; round(half even) of the texts' number times train are train."""
-    texts = docs.select(text).distinct()
-    n = F.count("*").over(Window.partitionBy(F.lit(1)))
-    ranked = texts.withColumn("__rank", F.row_number().over(Window.orderBy(shuffle_key(seed, F.col(text)), text))).withColumn("__n", n)
-    side = F.when(F.col("__rank") <= F.bround(F.col("__n") * train), "train").otherwise("test")
-    return docs.join(ranked.select(F.col(text).alias("__text"), side.alias("split")), F.col(text).eqNullSafe(F.col("__text"))).drop("__text")
+    """Adds split: every distinct text on one side; round(half even) of the texts' number times train are train.
+
+    Rows are told their side by their text's key alone: the key at the cut is found first, and no row is moved.
+    """
+    key = F.coalesce(shuffle_key(seed, F.col(text)), F.lit(""))
+    keys = docs.select(F.lit(0).alias("g"), key.alias("k")).distinct()
+    found = cutoffs(keys, "g", "k", lambda _, n: round(n * train))
+    return docs.withColumn("split", F.when(up_to(key, F.lit(0), found), "train").otherwise("test"))
 
 
 def stratified_split(rows: DataFrame, label: str, key: str, seed: int, test: float = 0.2) -> DataFrame:
-    by = Window.partitionBy(label)
-    rank = F.row_number().over(by.orderBy(shuffle_key(seed, F.col(key)), key))
-    return rows.withColumn("split", F.when(rank <= F.bround(F.count("*").over(by) * test), "test").otherwise("train"))
+    """Adds split: round(half even) of each label's rows times test are test, by the row key's place in a seeded order."""
+    order = shuffle_key(seed, F.col(key))
+    found = cutoffs(rows.select(F.col(label).alias("g"), order.alias("k")), "g", "k", lambda _, n: round(n * test))
+    return rows.withColumn("split", F.when(up_to(order, F.col(label), found), "test").otherwise("train"))
 
 
 def assign_split(rows: DataFrame, label: str, key: str, seed: int) -> DataFrame:
@@ -146,11 +151,11 @@ def assign_split(rows: DataFrame, label: str, key: str, seed: int) -> DataFrame:
 
 def balance(rows: DataFrame, label: str, key: str, seed: int) -> DataFrame:
     """All benign rows and as many malicious ones at most, drawn without replacement; benign rows are never padded."""
-    counts = rows.agg(F.sum((F.col(label) == 0).cast("long")).alias("__benign"))
+    benign = rows.where(F.col(label) == 0).count()
+    order = shuffle_key(seed, F.col(key))
     bad = rows.where(F.col(label) == 1)
-    bad = bad.withColumn("__rank", F.row_number().over(Window.orderBy(shuffle_key(seed, F.col(key)), key)))
-    bad = bad.crossJoin(F.broadcast(counts)).where("__rank <= __benign").drop("__rank", "__benign")
-    return rows.where(F.col(label) == 0).unionByName(bad)
+    found = cutoffs(bad.select(F.lit(1).alias("g"), order.alias("k")), "g", "k", lambda _, n: min(n, benign))
+    return rows.where((F.col(label) == 0) | ((F.col(label) == 1) & up_to(order, F.lit(1), found)))
 
 
 def sample_rows(rows: DataFrame, key: str, seed: int, n: int) -> DataFrame:
