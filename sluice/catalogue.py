@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sluice.operators import batching, corpus, deident, metrics, ml, readside, requests, significance
+from sluice.operators import batching, corpus, deident, metrics, ml, readside, requests, significance, views
 from sluice.oracles import ORACLES  # noqa: F401
 from sluice.plans.predictions import CLASSIFIERS, EMBEDDINGS, KEYS, MODES, predictions
 from sluice.sources import files
@@ -455,3 +455,201 @@ def upload_guard(spark, sf_dir):
 def dataset_peek(spark, sf_dir):
     cut = lambda c, n: F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("…"))).otherwise(F.col(c))
     return docs(spark, sf_dir).select("doc_id", F.md5(cut("text", 110)).alias("short_md5"), F.md5(cut("text", 170)).alias("long_md5"))
+
+
+def spoiled(spark, sf_dir):
+    """Predictions with a mode over other rows (pipeline 2, context_only) and a missing one (pipeline 3, user_intent_only)."""
+    other = (F.col("pipeline") == 2) & (F.col("mode") == "context_only") & (F.col("row_id") % 10 == 0)
+    return predictions(spark, sf_dir).where(~other & ~((F.col("pipeline") == 3) & (F.col("mode") == "user_intent_only")))
+
+
+@query
+def alignment_spoiled(spark, sf_dir):
+    return significance.mode_alignment(spoiled(spark, sf_dir), MODE_NAMES)
+
+
+@query
+def ablation_mcnemar_spoiled(spark, sf_dir):
+    return significance.across_modes(spoiled(spark, sf_dir), MODE_NAMES)
+
+
+@query
+def ablation_degradation_spoiled(spark, sf_dir):
+    return significance.degradation(metrics.detection_metrics(significance.aligned(spoiled(spark, sf_dir), MODE_NAMES), KEYS))
+
+
+def compared(spark, sf_dir, reference):
+    preds = spoiled(spark, sf_dir)
+    return readside.comparison(metrics.detection_metrics(preds, KEYS), significance.across_modes(preds, MODE_NAMES), reference, MODE_NAMES)
+
+
+@query
+def comparison_normal(spark, sf_dir):
+    return compared(spark, sf_dir, "normal")
+
+
+@query
+def comparison_intent(spark, sf_dir):
+    return compared(spark, sf_dir, "user_intent_only")
+
+
+@query
+def comparison_notes(spark, sf_dir):
+    preds = spoiled(spark, sf_dir)
+    return readside.comparison_notes(metrics.detection_metrics(preds, KEYS), significance.across_modes(preds, MODE_NAMES), "user_intent_only")
+
+
+@query
+def ablation_groups_all(spark, sf_dir):
+    return readside.ablation_groups(results(spark, sf_dir), MODE_NAMES, "all")
+
+
+@query
+def source_rows(spark, sf_dir):
+    return views.source_rows(docs(spark, sf_dir), "src0", ["doc_id", "lang", "source", "n_chars"])
+
+
+@query
+def filled_rows(spark, sf_dir):
+    first = table(spark, sf_dir, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("intent"))
+    return docs(spark, sf_dir).join(first, F.col("doc_id") == F.col("conv_id"), "left").where(views.filled("text", "intent")).select("doc_id")
+
+
+@query
+def per_sample_ms(spark, sf_dir):
+    events = table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum("value").alias("total"), F.count("*").alias("n"))
+    return events.select("event_type", F.round(views.per_sample_ms(F.col("total"), F.col("n")), 6).alias("ms"))
+
+
+@query
+def without_empty(spark, sf_dir):
+    rows = results(spark, sf_dir).select(*KEYS, "accuracy", F.lit(None).cast("double").alias("train_seconds"))
+    return views.without_empty(rows, ["accuracy", "train_seconds"])
+
+
+@query
+def capabilities(spark, sf_dir):
+    return views.capabilities(results(spark, sf_dir))
+
+
+@query
+def axis_range(spark, sf_dir):
+    return views.axis_range(results(spark, sf_dir), ["mode"], "roc_auc")
+
+
+@query
+def group_separators(spark, sf_dir):
+    rows = results(spark, sf_dir).where("mode = 'normal'").select("pipeline", "emb", "clf", "roc_auc")
+    return views.separators(rows, "emb", F.col("pipeline"), F.col("emb"), F.col("clf"))
+
+
+@query
+def degradation_order(spark, sf_dir):
+    rows = significance.degradation(results(spark, sf_dir)).select("pipeline", "emb", "clf", "reference", "variant", "deg_roc_auc")
+    return views.placed(rows, F.col("reference"), F.col("variant"), F.col("deg_roc_auc").desc(), F.col("pipeline"), F.col("emb"), F.col("clf"))
+
+
+@query
+def configuration_order(spark, sf_dir):
+    rows = results(spark, sf_dir).where("mode = 'normal'").select("pipeline", "emb", "clf").withColumn("ordinal", views.ordinal(F.col("pipeline"), [3, 1]))
+    return views.placed(rows, F.col("ordinal"), F.col("pipeline"), F.col("emb"), F.col("clf"))
+
+
+@query
+def sorted_in_pipelines(spark, sf_dir):
+    rows = results(spark, sf_dir).select(*KEYS, "f1")
+    return views.placed(rows, F.col("f1").desc_nulls_last(), *[F.col(k) for k in KEYS], within=["pipeline"])
+
+
+@query
+def candidate_rows(spark, sf_dir):
+    return views.candidates(docs(spark, sf_dir), "doc_id", SEED, 100).select("doc_id")
+
+
+@query
+def breakdown_order(spark, sf_dir):
+    events = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_row"))
+    return views.placed(events, F.col("n").desc(), F.col("first_row"))
+
+
+@query
+def merged_attack_pool(spark, sf_dir):
+    pool = corpus.attack_pool(table(spark, sf_dir, "benchmark"))
+    return pool.where("part = 'train'").unionAll(pool.where("part = 'test'")).groupBy("kind", "category").agg(F.count("*").alias("n"))
+
+
+@query
+def configuration_keys(spark, sf_dir):
+    names = results(spark, sf_dir).select(F.concat_ws("__", "emb", "clf", F.concat("mode", F.lit("__x"))).alias("name")).distinct()
+    emb, rest = views.split_key(F.col("name"))
+    return names.select("name", F.upper(emb).alias("emb"), rest.alias("rest"))
+
+
+@query
+def normal_paths(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", views.normal_path(F.col("url")).alias("path"))
+
+
+@query
+def stamps(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm").alias("stamp"))
+
+
+@query
+def latency_draws(spark, sf_dir):
+    return views.drawn_rows(table(spark, sf_dir, "embeddings"), "vec_id", SEED)
+
+
+@query
+def projection_sample(spark, sf_dir):
+    return corpus.sample_rows(table(spark, sf_dir, "events").select("event_id"), "event_id", SEED, 5_000)
+
+
+@query
+def rows_to_embed(spark, sf_dir):
+    """Documents without a vector of their id."""
+    have = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    return views.to_embed(docs(spark, sf_dir).select("doc_id"), have, ["doc_id"])
+
+
+@query
+def vectors_of_rows(spark, sf_dir):
+    """Rows joined with their vectors by row id."""
+    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.size("embedding").alias("dim"), F.col("label"))
+    return docs(spark, sf_dir).select("doc_id", "lang").join(own, "doc_id")
+
+
+@query
+def twin_counts(spark, sf_dir):
+    rows = corpus.twins(assigned(spark, sf_dir), SEED)
+    return views.twin_counts(rows.withColumn("position", F.coalesce("injection_position", F.lit("none"))), "position")
+
+
+@query
+def rows_without_group(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("row_id"), F.when(F.col("event_type") != "click", F.col("event_type")).alias("category"))
+    return views.without_group(predictions(spark, sf_dir).join(events, "row_id"), KEYS, "category")
+
+
+@query
+def request_totals(spark, sf_dir):
+    tokens = F.greatest(F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)), F.lit(1))
+    return views.request_totals(docs(spark, sf_dir), tokens, 100_000, 1_000_000)
+
+
+@query
+def trained_groups(spark, sf_dir):
+    texts = docs(spark, sf_dir).select("doc_id", F.md5("text").alias("digest"))
+    return views.in_groups(texts, "digest", texts.where("doc_id % 4 = 0")).select("doc_id", "trained")
+
+
+@query
+def listing_print(spark, sf_dir):
+    return views.fingerprint(table(spark, sf_dir, "events"), "event_id", "event_type")
+
+
+@query
+def tree_counts(spark, sf_dir):
+    grid = spark.createDataFrame([(p, m) for p in (1, 2, 3, 4) for m in MODE_NAMES], "pipeline int, mode string")
+    files = predictions(spark, sf_dir).select("pipeline", "mode", "emb").distinct()
+    return views.tree_counts(grid, files, "pipeline", "mode")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sluice.operators.corpus import stripped
-from sluice.operators.metrics import rounded
+from sluice.operators.metrics import METRICS, rounded
 
 #: The three thresholds of the three shortcut rules, and the verdict rule.
 LEAK_AUC = 0.99
@@ -29,8 +29,34 @@ def master_table(results: DataFrame, tests: DataFrame | None = None, reference:
     return rounded(wide)
 
 
+def comparison(results: DataFrame, tests: DataFrame, reference: str, modes: list[str]) -> DataFrame:
+    """The whole master table of any reference mode: its six metrics, and of each other mode the metric, the degradation, and the test's
+    adjusted p, significance, b and c (null where there is none); flagged where intent alone reaches the leak threshold or loses nothing."""
+    key, variants = ["pipeline", "emb", "clf"], [m for m in modes if m != reference]
+    cells = [F.max(F.when(F.col("mode") == m, F.col(c))).alias(f"{m}_{c}") for m in (reference, *variants) for c in METRICS]
+    wide = results.groupBy(*key).agg(F.count_if(F.col("mode") == reference).alias("__has"), *cells).where("__has > 0").drop("__has")
+    for v in variants:
+        wide = wide.withColumns({f"{v}_deg_{m}": F.col(f"{reference}_{m}") - F.col(f"{v}_{m}") for m in METRICS})
+        pair = tests.where((F.least("a", "b_name") == min(reference, v)) & (F.greatest("a", "b_name") == max(reference, v)))
+        wide = wide.join(pair.select(*key, F.col("p_holm").alias(f"{v}_p"), F.col("significant").alias(f"{v}_significant"), F.col("b").alias(f"{v}_b"), F.col("c").alias(f"{v}_c")), key, "left")
+    flag = F.lit(False)
+    if "user_intent_only" in variants:
+        flag = F.when(F.col("user_intent_only_roc_auc") >= LEAK_AUC, True).otherwise(F.coalesce(F.col("user_intent_only_deg_roc_auc") <= 0, F.lit(False)))
+    return rounded(wide.withColumn("shortcut", flag))
+
+
+def comparison_notes(results: DataFrame, tests: DataFrame, reference: str) -> DataFrame:
+    """note, n: configurations without a result of the reference mode, which the table leaves out, and pipelines without tests."""
+    has = results.groupBy("pipeline", "emb", "clf").agg(F.count_if(F.col("mode") == reference).alias("n"))
+    omitted = has.where("n = 0").agg(F.count("*").alias("n")).select(F.lit("no reference").alias("note"), "n")
+    tested = results.select("pipeline").distinct().join(tests.select("pipeline").distinct(), "pipeline", "left_anti")
+    return omitted.unionByName(tested.agg(F.count("*").alias("n")).select(F.lit("no tests").alias("note"), "n"))
+
+
 def shortcut_flags(master: DataFrame, variant: str = "user_intent_only") -> DataFrame:
-    """Suspected where intent alone reaches the leak threshold, or loses nothing."""
+    """Suspected where intent alone reaches the leak threshold, or loses nothing; never where intent alone is the reference."""
+    if f"{variant}_deg" not in master.columns:
+        return master.select("pipeline", "emb", "clf", F.lit(None).cast("double").alias("intent_auc"), F.lit(None).cast("double").alias("degradation"), F.lit(False).alias("shortcut"))
     auc, deg = F.col(f"{variant}_roc_auc"), F.col(f"{variant}_deg")
     return master.select("pipeline", "emb", "clf", auc.alias("intent_auc"), deg.alias("degradation"), F.when(auc >= LEAK_AUC, True).otherwise(F.coalesce(deg <= 0, F.lit(False))).alias("shortcut"))
 
@@ -54,9 +80,12 @@ def best_classifier(results: DataFrame, mode: str = "normal") -> DataFrame:
     return first_by(results.where(F.col("mode") == mode), ["pipeline", "emb"], "roc_auc", ["clf"]).select("pipeline", "emb", "clf", "roc_auc")
 
 
-def ablation_groups(results: DataFrame, modes: list[str]) -> DataFrame:
-    """Per pipeline and embedding the best classifier's AUC in every mode."""
-    rows = results.join(F.broadcast(best_classifier(results).select("pipeline", "emb", "clf")), ["pipeline", "emb", "clf"])
+def ablation_groups(results: DataFrame, modes: list[str], classifier: str = "best") -> DataFrame:
+    """Per pipeline and embedding the AUC in every mode: of the best classifier, of all, or of a named one."""
+    if classifier == "best":
+        rows = results.join(F.broadcast(best_classifier(results).select("pipeline", "emb", "clf")), ["pipeline", "emb", "clf"])
+    else:
+        rows = results if classifier == "all" else results.where(F.col("clf") == classifier)
     return rows.groupBy("pipeline", "emb", "clf").pivot("mode", modes).agg(F.first("roc_auc"))
 
 

@@ -66,18 +66,29 @@ def within_run(preds: DataFrame, ordered: list[str], alpha: float = 0.05) -> Dat
     return rounded(out.withColumn("acc_diff", F.col("acc_a") - F.col("acc_b")))
 
 
+def aligned(preds: DataFrame, modes: list[str]) -> DataFrame:
+    """The predictions of each pipeline's aligned modes, of the configurations that all of them have."""
+    kept = mode_alignment(preds, modes).where("aligned").select("pipeline", "mode")
+    rows = preds.join(F.broadcast(kept), ["pipeline", "mode"], "left_semi")  # a row per pipeline and mode
+    have = rows.select("pipeline", "emb", "clf", "mode").distinct()
+    shared = have.groupBy("pipeline", "emb", "clf").agg(F.count("*").alias("n"))
+    every = kept.groupBy("pipeline").agg(F.count("*").alias("n"))
+    return rows.join(F.broadcast(shared.join(every, ["pipeline", "n"]).drop("n")), ["pipeline", "emb", "clf"], "left_semi")
+
+
 def across_modes(preds: DataFrame, modes: list[str], alpha: float = 0.05) -> DataFrame:
-    """Per pipeline, embedding and classifier all pairs of modes; Holm over all tests of the pipeline."""
-    shared = preds.select("pipeline", "emb", "clf", "mode").distinct().groupBy("pipeline", "emb", "clf").agg(F.count("*").alias("n")).where(F.col("n") == len(modes)).drop("n")
-    tests = mcnemar(pairs_by_mask(preds, ["pipeline"], ["emb", "clf"], ["mode"], modes))
-    tests = tests.join(F.broadcast(shared), ["pipeline", "emb", "clf"], "left_semi")
+    """Per pipeline, embedding and classifier all pairs of its aligned modes; Holm over all tests of the pipeline."""
+    tests = mcnemar(pairs_by_mask(aligned(preds, modes), ["pipeline"], ["emb", "clf"], ["mode"], modes))
     return rounded(holm(tests, ["pipeline"], ["emb", "clf", "a", "b_name"], alpha).withColumn("acc_diff", F.col("acc_a") - F.col("acc_b")))
 
 
 def mode_alignment(preds: DataFrame, modes: list[str]) -> DataFrame:
-    """pipeline, mode, n_rows, aligned: the largest set of modes with the same rows and labels; a tie goes to the set with the earliest mode."""
+    """pipeline, mode, n_rows, aligned: the largest set of modes with the same rows and labels; a tie goes to the set with the earliest mode.
+
+    Row sets are compared by their size and 128 bits that do not depend on the rows' order.
+    """
     one = preds.select("pipeline", "mode", "row_id", "y_true").distinct()
-    prints = one.groupBy("pipeline", "mode").agg(F.count("*").alias("n_rows"), F.sum(F.col("row_id") * 2 + F.col("y_true")).alias("s1"), F.sum((F.col("row_id") * 2 + F.col("y_true")) * (F.col("row_id") % 1009)).alias("s2"))
+    prints = one.groupBy("pipeline", "mode").agg(F.count("*").alias("n_rows"), F.bit_xor(F.xxhash64("row_id", "y_true")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "row_id", "y_true")).alias("s2"))
     prints = prints.withColumn("place", F.array_position(F.array(*[F.lit(m) for m in modes]), F.col("mode")))
     same = Window.partitionBy("pipeline", "n_rows", "s1", "s2")
     ranked = prints.withColumn("members", F.count("*").over(same)).withColumn("earliest", F.min("place").over(same))
@@ -87,7 +98,7 @@ def mode_alignment(preds: DataFrame, modes: list[str]) -> DataFrame:
 
 
 def degradation(results: DataFrame) -> DataFrame:
-    """Reference minus variant of each metric, every ordered pair of modes; positive: the variant is worse."""
+    """Reference minus variant of each metric, every ordered pair of modes; positive: the variant is worse. results: of aligned predictions."""
     key = ["pipeline", "emb", "clf"]
     other = results.select(*key, F.col("mode").alias("variant"), *[F.col(m).alias(f"v_{m}") for m in METRICS])
     both = results.join(other, key).where(F.col("mode") != F.col("variant"))

@@ -149,3 +149,70 @@ ORACLES |= {
     "upload_guard": r"""select doc_id, case when doc_id % 3 = 2 then 'type' when strlen(text) > 1048576 then 'size' when regexp_matches(text, '[\x00-\x08\x0e-\x1f]') then 'binary' when coalesce(length(trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), 0) = 0 then 'empty' else 'ok' end verdict from documents""",
     "dataset_peek": "select doc_id, md5(case when length(text) > 110 then substr(text, 1, 110) || '…' else text end) short_md5, md5(case when length(text) > 170 then substr(text, 1, 170) || '…' else text end) long_md5 from documents",
 }
+
+_SPOILED = PREDS_SQL.replace("preds as (", "every_pred as (") + """,
+preds as (select * from every_pred where not (pipeline = 2 and mode = 'context_only' and row_id % 10 = 0) and not (pipeline = 3 and mode = 'user_intent_only'))"""
+_ALIGNED = _SPOILED.replace("row_id % 10 = 0", "true")
+_SPOILED_METRICS, _ALIGNED_METRICS = _METRICS.replace(PREDS_SQL, _SPOILED), _METRICS.replace(PREDS_SQL, _ALIGNED)
+_QUALITY = ("accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc")
+_MODE_ORDER = ("normal", "user_intent_only", "context_only")
+
+
+def _comparison(reference: str) -> str:
+    variants = [m for m in _MODE_ORDER if m != reference]
+    wide = ", ".join(f"max(case when mode = '{m}' then \"{c}\" end) {m}_{c}" for m in (reference, *variants) for c in _QUALITY)
+    tests = f"with {_ALIGNED}{_ACROSS} select pipeline, emb, clf, a, b_name, round(p_holm, 9) p, p_holm < 0.05 significant, b, c from holm"
+    more = ", ".join(", ".join([*[f"round({reference}_{c} - {v}_{c}, 9) {v}_deg_{c}" for c in _QUALITY], *[f"t{i}.{c} {v}_{c}" for c in ("p", "significant", "b", "c")]]) for i, v in enumerate(variants))
+    joins = " ".join(f"left join t t{i} on t{i}.pipeline = w.pipeline and t{i}.emb = w.emb and t{i}.clf = w.clf and t{i}.a = '{min(reference, v)}' and t{i}.b_name = '{max(reference, v)}'" for i, v in enumerate(variants))
+    flag = "coalesce(user_intent_only_roc_auc >= 0.99 or normal_roc_auc - user_intent_only_roc_auc <= 0, false)" if reference == "normal" else "false"
+    return f"with m as ({_SPOILED_METRICS} select * from results), t as ({tests}), w as (select pipeline, emb, clf, {wide} from m group by all having count(*) filter (mode = '{reference}') > 0) select w.*, {more}, {flag} shortcut from w {joins}"
+
+
+ORACLES |= {
+    "alignment_spoiled": f"with {_SPOILED} select pipeline, mode, count(distinct row_id) n_rows, not (pipeline = 2 and mode = 'context_only') aligned from preds group by all",
+    "ablation_mcnemar_spoiled": f"with {_ALIGNED}{_ACROSS} select pipeline, emb, clf, a, b_name, {_TEST_COLUMNS} from holm",
+    "ablation_degradation_spoiled": f"{_ALIGNED_METRICS}, {_DEGRADED} select * from degraded",
+    "comparison_normal": _comparison("normal"),
+    "comparison_intent": _comparison("user_intent_only"),
+    "comparison_notes": f"{_SPOILED_METRICS}, h as (select pipeline, emb, clf, count(*) filter (mode = 'user_intent_only') n from results group by all) select 'no reference' note, count(*) n from h where n = 0 union all select 'no tests', 0",
+    "ablation_groups_all": f"{_METRICS} select pipeline, emb, clf, " + ", ".join(f"max(case when mode = '{m}' then roc_auc end) {m}" for m in _MODE_ORDER) + " from results group by all",
+    "source_rows": "select doc_id, lang, source, n_chars from documents where source = 'src0'",
+    "filled_rows": r"""with f as (select conv_id, min_by(text, turn) intent from conversations where role = 'user' group by 1)
+      select doc_id from documents join f on conv_id = doc_id where regexp_matches(text, '\S') and regexp_matches(intent, '\S')""",
+    "per_sample_ms": "select event_type, round(sum(value) / count(*) * 1000, 6) ms from events group by 1",
+    "without_empty": f"{_METRICS} select pipeline, mode, emb, clf, accuracy from results",
+    "capabilities": f"{_METRICS} select pipeline, count(distinct mode) n_modes, count(*) n_results, count(roc_auc) n_auc, count(fpr) n_fpr from results group by 1",
+    "axis_range": f"{_METRICS} select mode, min(roc_auc) low, max(roc_auc) high, count(roc_auc) n from results group by 1",
+    "group_separators": f"{_METRICS} select pipeline, emb, clf, roc_auc, coalesce(lag(emb) over (order by pipeline, emb, clf) <> emb, true) opens from results where mode = 'normal'",
+    "degradation_order": f"{_METRICS}, {_DEGRADED} select pipeline, emb, clf, reference, variant, deg_roc_auc, cast(row_number() over (order by reference, variant, deg_roc_auc desc, pipeline, emb, clf) as int) place from degraded",
+    "configuration_order": f"{_METRICS}, o as (select pipeline, emb, clf, cast(case pipeline when 3 then 0 when 1 then 1 else 99 end as int) ordinal from results where mode = 'normal') select *, cast(row_number() over (order by ordinal, pipeline, emb, clf) as int) place from o",
+    "sorted_in_pipelines": f"{_METRICS} select pipeline, mode, emb, clf, f1, cast(row_number() over (partition by pipeline order by f1 desc nulls last, pipeline, mode, emb, clf) as int) place from results",
+    "candidate_rows": f"select doc_id from documents order by {_md5('doc_id')}, doc_id limit 170",
+    "breakdown_order": "with e as (select event_type, count(*) n, min(event_id) first_row from events group by 1) select *, cast(row_number() over (order by n desc, first_row) as int) place from e",
+    "merged_attack_pool": f"with {_POOL} select kind, category, count(*) n from pool group by all",
+    "configuration_keys": f"with {PREDS_SQL} select distinct emb || '__' || clf || '__' || mode || '__x' as name, upper(emb) emb, clf || '__' || mode || '__x' as rest from preds",
+    "normal_paths": """with w as (select page_id, split_part(url, '#', 1) u from pages), q as (select page_id, split_part(u, '?', 1) base, case when contains(u, '?') then substr(u, position('?' in u) + 1) else '' end q from w)
+      select page_id, case when q = '' then base else base || '?' || array_to_string(list_sort(string_split(q, '&')), '&') end as path from q""",
+    "stamps": "select event_id, strftime(ts, '%Y-%m-%d %H:%M') stamp from events",
+    "latency_draws": f"""with p as (select vec_id, row_number() over (order by {_md5('vec_id')}, vec_id) - 1 k from embeddings), q as (select *, count(*) over () pool from p where k < 3520),
+      d as (select range draw, cast('0x' || substr(md5('{SEED + 1}:' || range), 1, 8) as bigint) r from range(220)) select draw, draw < 20 warm, vec_id from d join q on r % pool = k""",
+    "projection_sample": f"select event_id from events order by {_md5('event_id')}, event_id limit 5000",
+    "rows_to_embed": "select doc_id from documents where doc_id not in (select vec_id from embeddings)",
+    "vectors_of_rows": "select doc_id, lang, cast(len(embedding) as int) dim, label from documents join embeddings on vec_id = doc_id",
+    "twin_counts": f"with {_ASSIGNED} select pos as position, count(distinct doc_id) n_documents, count(*) n_injected, 0 as n_clean from placed group by 1 union all select 'none', count(distinct doc_id), 0, count(*) from placed",
+    "rows_without_group": f"with {PREDS_SQL} select pipeline, mode, emb, clf, count(*) filter (event_type = 'click') n_without, count(*) n from preds join events on event_id = row_id group by all",
+    "request_totals": r"with t as (select sum(greatest(coalesce(len(regexp_extract_all(text, '\S+')), 0), 1))::bigint n_tokens from documents) select n_tokens, ceil(n_tokens / 100000)::bigint n_batches, round(n_tokens / 850000.0, 9) as minutes from t",
+    "trained_groups": "select doc_id, text in (select text from documents where doc_id % 4 = 0) trained from documents",
+    "listing_print": """with r as (select md5(event_id || '|' || coalesce(event_type, '')) h from events), w as (select count(*) n, """ + ", ".join(f"cast(sum(cast('0x' || substr(h, {1 + 8 * i}, 8) as bigint)) as varchar) w{i}" for i in range(4)) + """ from r)
+      select n, md5(concat_ws('|', n, w0, w1, w2, w3)) print from w""",
+    "tree_counts": "with g as (select cast(p as int) pipeline, mode from (values (1),(2),(3),(4)) a(p) cross join (values ('normal'),('user_intent_only'),('context_only')) m(mode)), e as (select distinct cast(1 + user_id % 3 as int) pipeline from events) select g.pipeline, mode, count(*) n_expected, count(e.pipeline) n_present, cast(count(e.pipeline) * 3 as bigint) n_files from g left join e using (pipeline) group by rollup (g.pipeline, mode)",
+    "token_batches": r"""with recursive t as (select doc_id % 8 shard, coalesce(len(regexp_extract_all(text, '\S+')), 0) k, row_number() over (partition by doc_id % 8 order by doc_id) i from documents),
+      r as (select shard, i, 0 batch, 1 n, k::bigint t from t where i = 1
+        union all select t.shard, t.i, case when r.t + k > 5000 or r.n >= 64 then batch + 1 else batch end, case when r.t + k > 5000 or r.n >= 64 then 1 else r.n + 1 end, case when r.t + k > 5000 or r.n >= 64 then k else r.t + k end from r join t on t.shard = r.shard and t.i = r.i + 1)
+      select shard, cast(batch as int) batch, cast(max(n) as int) n_texts, cast(max(t) as bigint) n_tokens from r group by all""",
+    "insert_middle": f"""with {_ASSIGNED}, s as (select doc_id, text, instruction, string_split(regexp_replace(text, '([.!?])(\\s)', '\\1' || chr(1) || '\\2', 'g'), chr(1)) parts, {_number("doc_id", 17)} r from placed where pos = 'middle'),
+      k as (select *, (r % len(parts))::int k from s),
+      a as (select *, coalesce(list_sum(list_transform(parts[1:k], lambda p: length(p))), 0)::bigint + case when k > 0 then length(regexp_extract(parts[k + 1], '^\\s*')) else 0 end spot from k),
+      o as (select doc_id, case when regexp_matches(text, '\\S') then substr(text, 1, spot) || chr(10) || instruction || chr(10) || substr(text, spot + 1) else text || chr(10) || instruction end context from a)
+      select doc_id, md5(context) context_md5, length(context)::int n from o""",
+}
