@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from sluice.operators import batching, corpus, deident, metrics, ml, readside, requests, significance, views
 from sluice.oracles import ORACLES  # noqa: F401
 from sluice.plans.predictions import CLASSIFIERS, EMBEDDINGS, KEYS, MODES, predictions
-from sluice.sources import files
+from sluice.sources import files, shared
 
 SEED = 42
 MODE_NAMES = [m for m, _, _ in MODES]
@@ -301,25 +301,53 @@ def luhn_cards(spark, sf_dir):
     return hits.groupBy("doc_id").agg(F.count("*").alias("n_shaped"), F.sum(deident.luhn_ok(F.col("card")).cast("long")).alias("n_valid"))
 
 
+def mails(spark, sf_dir):
+    """Documents with the user's first turn as their subject."""
+    first = table(spark, sf_dir, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("subject"))
+    return docs(spark, sf_dir).join(first, F.col("doc_id") == F.col("conv_id"), "left").select("doc_id", "text", "subject")
+
+
 @query
 def scrub_documents(spark, sf_dir):
-    return deident.scrub(docs(spark, sf_dir), "doc_id", "text").select("doc_id", F.md5("scrubbed").alias("scrubbed_md5"), F.length("scrubbed").alias("n"))
+    return deident.scrub(docs(spark, sf_dir), "text").select("doc_id", F.md5("scrubbed").alias("scrubbed_md5"), F.length("scrubbed").alias("n"))
+
+
+@query
+def scrub_mails(spark, sf_dir):
+    rows = deident.scrub(mails(spark, sf_dir), "text", "subject")
+    return rows.select("doc_id", F.md5("scrubbed").alias("scrubbed_md5"), F.md5("scrubbed_subject").alias("subject_md5"), "n_names")
 
 
 @query
 def placeholder_counts(spark, sf_dir):
-    return deident.placeholder_counts(deident.scrub(docs(spark, sf_dir), "doc_id", "text"), "scrubbed")
+    return deident.placeholder_counts(deident.scrub(docs(spark, sf_dir), "text"), "scrubbed")
+
+
+def reported(spark, sf_dir):
+    rows = shared.staged(deident.scrub(docs(spark, sf_dir), "text").select("doc_id", "text", "scrubbed"), "scrubbed")
+    return rows, deident.audit_report(deident.audit(rows, "text"), deident.audit(rows, "scrubbed"))
 
 
 @query
 def audit_report(spark, sf_dir):
-    rows = deident.scrub(docs(spark, sf_dir), "doc_id", "text").select("text", "scrubbed")
-    return deident.audit_report(deident.audit(rows, "text"), deident.audit(rows, "scrubbed"))
+    return reported(spark, sf_dir)[1]
+
+
+@query
+def audit_totals(spark, sf_dir):
+    rows, report = reported(spark, sf_dir)
+    return deident.audit_totals(rows, "text", "scrubbed", report)
+
+
+@query
+def review_samples(spark, sf_dir):
+    return deident.review_samples(deident.scrub(mails(spark, sf_dir), "text", "subject"), "doc_id").select("doc_id", F.md5("sample").alias("sample_md5"))
 
 
 @query
 def name_vocabulary(spark, sf_dir):
-    return deident.name_vocabulary(deident.detect(docs(spark, sf_dir), "doc_id", "text"), "text")
+    rows = docs(spark, sf_dir).select(F.coalesce("text", F.lit("")).alias("text"))
+    return deident.name_vocabulary(shared.staged(deident.detect(rows, "text"), "names"), "text")
 
 
 @query
@@ -375,7 +403,7 @@ def vectors(spark, sf_dir):
 
 def train_eval(name):
     def run(spark, sf_dir):
-        rows = vectors(spark, sf_dir).cache()
+        rows = shared.staged(vectors(spark, sf_dir), "vectors")
         model = ml.fit(rows.where("split = 'train'"), name)
         scored = ml.scores(model, rows.where("split = 'test'")).withColumn("clf", F.lit(name))
         return metrics.detection_metrics(scored, ["clf"])

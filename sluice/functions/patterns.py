@@ -47,11 +47,14 @@ AUDIT = [
     ("card-shaped (Luhn)", CARD, True),
 ]
 
-PLACEHOLDER = {"PERSON": "<PERSON>", "INTERNAL_ADDRESS": "<PERSON>", "EMAIL_ADDRESS": "<EMAIL>", "PHONE_NUMBER": "<PHONE>", "PHONE_EXTENSION": "<PHONE>", "URL_STRICT": "<URL>", "STREET_ADDRESS": "<ADDRESS>", "US_SSN": "<ID_NUMBER>", "CREDIT_CARD": "<ID_NUMBER>"}
+PLACEHOLDER = {"PERSON": "<PERSON>", "ENRON_INTERNAL_ADDRESS": "<PERSON>", "EMAIL_ADDRESS": "<EMAIL>", "PHONE_NUMBER": "<PHONE>", "PHONE_EXTENSION": "<PHONE>", "URL_STRICT": "<URL>", "STREET_ADDRESS": "<ADDRESS>", "LOCATION": "<LOCATION>", "DATE_TIME": "<DATE>", "US_SSN": "<ID_NUMBER>", "CREDIT_CARD": "<ID_NUMBER>", "IBAN_CODE": "<ID_NUMBER>", "US_PASSPORT": "<ID_NUMBER>", "US_BANK_NUMBER": "<ID_NUMBER>"}
+
+#: Kinds that are looked for unless others are asked for; LOCATION and DATE_TIME are extra.
+KINDS = ("PERSON", "EMAIL_ADDRESS", "PHONE_NUMBER", "URL_STRICT", "US_SSN", "CREDIT_CARD", "IBAN_CODE", "US_PASSPORT", "ENRON_INTERNAL_ADDRESS", "PHONE_EXTENSION", "STREET_ADDRESS")
 
 #: kind, pattern, score.
 RECOGNIZERS = [
-    ("INTERNAL_ADDRESS", INTERNAL_STRICT, 0.75),
+    ("ENRON_INTERNAL_ADDRESS", INTERNAL_STRICT, 0.75),
     ("PHONE_EXTENSION", EXTENSION, 0.6),
     ("PHONE_NUMBER", INTL_PHONE, 0.6),
     ("PHONE_NUMBER", NANP_PHONE, 0.55),
@@ -70,14 +73,31 @@ DASH_NAME = r"(?m)^[ \t]*[-–—]{1,2}[ \t]*([A-Za-z][\w.'-]{1,20})[ \t]*$"
 NAMEY = r"^[A-Z][\w.'-]*(?:\s+[A-Z][\w.'-]*){0,2}[.!]?$"
 GREETING = r"(?i)\b(?:dear|hi|hello|hey|good\s+(?:morning|afternoon|evening))[ ,]+([A-Z][\w'-]+(?:\s+[A-Z][\w'-]+){0,2})"
 POSSESSIVE = r"\b([A-Z][a-z]{2,15})['’]s\b"
-STOPLIST = set(
-    "all friends family team everyone everybody folks sir madam colleagues customer customers guys there gentlemen ladies group sirs member members "
-    "april may june july august march january monday tuesday wednesday thursday friday saturday sunday "
-    "bill mark rich grant will art chuck frank jack don rob buck sue gene hope faith max ray gay enron houston texas "
-    "here there this that what who where when it let today tomorrow yesterday tonight everyone someone anyone nobody people company corp inc board committee "
-    "council management government state city school office university department market bank client year week month day night morning afternoon evening one each "
-    "new our your his her their the and but for".split()
-)
+STOPLIST = {
+    "all", "friends", "family", "team", "everyone", "everybody", "folks", "sir", "madam", "colleagues", "customer", "customers", "guys", "there",
+    "gentlemen", "ladies", "group", "sirs", "member", "members", "april", "may", "june", "july", "august", "march", "january", "monday", "tuesday",
+    "wednesday", "thursday", "friday", "saturday", "sunday", "bill", "mark", "rich", "grant", "will", "art", "chuck", "frank", "jack", "don", "rob",
+    "buck", "sue", "gene", "hope", "faith", "max", "ray", "gay", "enron", "houston", "texas", "here", "this", "that", "what", "who", "where", "when",
+    "it", "let", "today", "tomorrow", "yesterday", "tonight", "someone", "anyone", "nobody", "people", "company", "corp", "inc", "board", "committee",
+    "council", "management", "government", "state", "city", "school", "office", "university", "department", "market", "bank", "client", "year", "week",
+    "month", "day", "night", "morning", "afternoon", "evening", "one", "each", "new", "our", "your", "his", "her", "their", "the", "and", "but", "for",
+}
+
+IBAN = r"\b[A-Z]{2}\d{2}(?:[ -]?[A-Z0-9]{4}){2,7}(?:[ -]?[A-Z0-9]{1,3})?\b"
+PASSPORT = r"(?i)\bpassport\b[^\n]{0,40}?\b([A-Z]?\d{8,9})\b"
+DATES = r"(?i)\b(?:\d{4}-\d{2}-\d{2}|\d{1,2}[/.]\d{1,2}[/.](?:\d{4}|\d{2})|(?:\d{1,2}\s+)?(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+\d{1,2}(?:,\s*\d{4})?)\b"
+
+#: Every rule of the detection: kind, pattern, score, group, what a match has to satisfy, and texts (lower case) of which one has to occur.
+RULES = [
+    *[(k, p, s, 0, "luhn" if k == "CREDIT_CARD" else "", needs) for (k, p, s), needs in zip(RECOGNIZERS, (("/",), ("x",), ("+",), (), ('"',), ("://", "www."), (".",), (), ("box",), ("@",), ("-",), ()), strict=True)],
+    ("IBAN_CODE", IBAN, 1.0, 0, "iban", ()),
+    ("US_PASSPORT", PASSPORT, 0.4, 1, "", ("passport",)),
+    ("DATE_TIME", DATES, 0.6, 0, "", ()),
+    ("PERSON", SIGNOFF, 0.6, 1, "namey", ("thank", "regards", "best", "sincerely", "cheers", "yours", "care")),
+    ("PERSON", DASH_NAME, 0.6, 1, "", ("-", "–", "—")),
+    ("PERSON", GREETING, 0.65, 1, "unlisted", ("dear", "hi", "hello", "hey", "good")),
+    ("PERSON", POSSESSIVE, 0.55, 1, "unlisted", ("'s", "’s")),
+]
 
 
 def python_dialect(pattern: str) -> str:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sluice.operators.ordered import cutoffs, running, up_to
+from sluice.sources.shared import spread
 
 #: Inclusive length bounds of each source.
 BOUNDS = {"ms_marco": (150, 6000), "fetaqa": (50, 8000), "cosqa": (20, 6000), "aeslc": (200, 5000), "cnn": (200, 6000)}
@@ -118,7 +119,7 @@ def twins(docs: DataFrame, seed: int, key: str = "doc_id") -> DataFrame:
     where = position(seed, F.col(key))
     injected = F.struct(F.lit(1).alias("label"), insert(F.col("original_context"), F.col("attack_instruction"), where, seed, F.col(key)).alias("context"), where.alias("injection_position"), F.col("attack_category").alias("attack_category"))
     clean = F.struct(F.lit(0).alias("label"), F.col("original_context").alias("context"), F.lit(None).cast("string").alias("injection_position"), F.lit(None).cast("string").alias("attack_category"))
-    return docs.withColumn("__t", F.explode(F.array(clean, injected))).select(key, "original_context", "__t.*")
+    return spread(docs).withColumn("__t", F.explode(F.array(clean, injected))).select(key, "original_context", "__t.*")
 
 
 def text_split(docs: DataFrame, text: str, seed: int, train: float = 0.8) -> DataFrame:

@@ -53,9 +53,11 @@ def freed_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_CLEANUP, before)
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it: cuts the lineage and survives lost executors."""
-    path = noted(f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}")
+def staged(df: DataFrame, tag: str, lasting: bool = False) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it: cuts the lineage and survives lost executors. A lasting table outlives scratch blocks."""
+    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    if not lasting:
+        noted(path)
     with freed_shuffles(df.sparkSession):
         df.write.parquet(path)
     read = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -83,3 +85,12 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     finally:
         for path in _made.pop():
             delete(spark, path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores: work on a small table of few files would else leave most of them idle.
+
+    Tables of many files are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
