@@ -6,17 +6,12 @@ number of rows fitting in one task or on the driver.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sluice.sources.shared import delete, discard, freed_shuffles, noted, scratch, shared_dir, staged  # noqa: F401
+
 #: Characters that count as white space in word counts and normalised texts.
 SPACE_CLASS = r"\x20\x09-\x0D"
 
@@ -25,79 +20,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset and everything runs in one process (tests, local runs), a temporary one is set, and removed at exit;
-    a cluster without a shared folder is an error.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not configured:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        configured = tempfile.mkdtemp(prefix="sluice-")
-        atexit.register(shutil.rmtree, configured, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", configured)
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured
-
-
-#: Paths staged inside the scratch blocks that are open, innermost last.
-_made: list[list[str]] = []
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def noted(path: str) -> str:
-    """Marks a path of the shared folder for deletion at the end of the innermost scratch block."""
-    if _made:
-        _made[-1].append(path)
-    return path
-
-
-@contextmanager
-def freed_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Writes inside delete their shuffle files when they are done: what was written stands for them."""
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(_CLEANUP, before)
-
-
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it: cuts the lineage and survives lost executors."""
-    path = noted(f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}")
-    with freed_shuffles(df.sparkSession):
-        df.write.parquet(path)
-    read = df.sparkSession.read.schema(df.schema).parquet(path)
-    read.staged_at = path
-    return read
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    found.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(found, True)
-
-
-def discard(*frames: DataFrame) -> None:
-    """Deletes staged tables that no later step reads."""
-    for df in frames:
-        delete(df.sparkSession, df.staged_at)
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes at its end whatever was staged inside: for callers that have written the results by then."""
-    _made.append([])
-    try:
-        yield
-    finally:
-        for path in _made.pop():
-            delete(spark, path)
-
-
 def text_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
