@@ -49,7 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. What a stage staged on its way, and its input, are deleted when its result is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = common.staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with common.scratch(spark):
+            docs = common.staged(stage(spark, docs, sf_dir), f"pipeline-{name}", lasting=True)
+        if before is not None:
+            common.discard(before)
+        before = docs
     return docs
