@@ -85,7 +85,7 @@ STOPLIST = {
 
 IBAN = r"\b[A-Z]{2}\d{2}(?:[ -]?[A-Z0-9]{4}){2,7}(?:[ -]?[A-Z0-9]{1,3})?\b"
 PASSPORT = r"(?i)\bpassport\b[^\n]{0,40}?\b([A-Z]?\d{8,9})\b"
-DATES = r"(?i)\b(?:\d{4}-\d{2}-\d{2}|\d{1,2}[/.]\d{1,2}[/.](?:\d{4}|\d{2})|(?:\d{1,2}\s+)?(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+\d{1,2}(?:,\s*\d{4})?)\b"
+DATES = r"(?i)\b(?:\d{4}-\d{2}-\d{2}|\d{1,2}[/.]\d{1,2}[/.](?:\d{4}|\d{2})|(?:\d{1,2}\s+)?(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+(?:\d{4}|\d{1,2}(?:,?\s+\d{4})?))\b"
 
 #: Every rule of the detection: kind, pattern, score, group, what a match has to satisfy, and texts (lower case) of which one has to occur.
 RULES = [
