@@ -145,8 +145,9 @@ def link(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.99, samp
             own, index = long.where(~F.size("v").isin(indexed)), None
         else:
             own = long.where(F.size("v") == size)
-            drawn = own.orderBy(F.md5("digest"), "digest").limit(sample_rows).select("v").toPandas()
-            x = unit(np.stack(drawn["v"].to_numpy()))
+            # The first by digest of each of so many hash classes: one row a class and task, whatever the table's size.
+            drawn = own.groupBy(F.pmod(F.xxhash64("digest"), F.lit(sample_rows)).alias("c")).agg(F.min_by("v", "digest").alias("v"), F.min("digest").alias("digest"))
+            x = unit(np.stack(drawn.orderBy("digest").select("v").toPandas()["v"].to_numpy()))
             k = int(np.clip(np.ceil(np.sqrt(n / per_cell)), 4, most_codes))
             index = vectors.sparkSession.sparkContext.broadcast(MultiIndex.fit(x, k, threshold, recall))
 

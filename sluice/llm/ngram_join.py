@@ -139,9 +139,15 @@ def shortened(measured: list[np.ndarray], depth: int, recall: float) -> int:
 
 
 def drawn(known: DataFrame, rows: int, longest: int, n: int) -> list[np.ndarray]:
-    """The sets of at most `rows` documents of up to `longest` bytes in a seeded order."""
-    keyed = known.where(F.octet_length("text") <= longest).select("text", C.seeded_key(29, F.col("id")).alias("order"), "id")
-    sets = [shingles(t, n) for t in keyed.orderBy("order", "id").limit(rows).toPandas()["text"]]
+    """The sets of at most `rows` documents of up to `longest` bytes: the first in a seeded order of each of so many hash classes of ids.
+
+    Map-side, every task keeps one id a class; only the chosen documents' texts leave the executors.
+    """
+    short = known.where(F.octet_length("text") <= longest)
+    first = F.min_by("id", C.seeded_key(29, F.col("id"))).alias("id")
+    ids = [r["id"] for r in short.groupBy(F.pmod(F.xxhash64("id"), F.lit(rows)).alias("c")).agg(first).collect()]
+    texts = short.where(F.col("id").isin(ids)).groupBy("id").agg(F.min("text").alias("text")).orderBy("id").collect()
+    sets = [shingles(r["text"], n) for r in texts]
     return [h for h in sets if len(h)]
 
 

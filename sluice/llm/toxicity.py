@@ -103,7 +103,11 @@ def discount(counts: np.ndarray) -> float:
 def sample(docs: DataFrame, labels: DataFrame, sample_rows: int, longest: int, key: str, text: str, label: str) -> DataFrame:
     """text, y, part (0: for the curve, else for the counts). The chosen ids, at most sample_rows, are broadcast."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("__id")).agg((F.max(label) > 0).cast("int").alias("y"))
-    chosen = known.withColumn("__order", C.seeded_key(41, F.col("__id"))).orderBy("__order", "__id").limit(sample_rows)
+    known = C.staged(known.withColumn("__order", C.seeded_key(41, F.col("__id"))), "toxicity-known")
+    # The first sample_rows in the seeded order have small keys: four times as many rows as wanted are ordered, not all.
+    low = known.where(C.key_number(F.col("__order")) < int(min(1.0, 4 * sample_rows / max(1, known.count())) * (1 << 32)))
+    low = low if low.count() >= sample_rows else known
+    chosen = low.orderBy("__order", "__id").limit(sample_rows)
     chosen = chosen.withColumn("part", F.pmod(F.xxhash64("__order"), F.lit(5)).cast("int")).drop("__order")
     texts = docs.select(F.col(key).alias("__key"), F.col(text).alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= longest))
     return C.staged(texts.join(F.broadcast(chosen), F.col("__key") == F.col("__id")).select("text", "y", "part"), "toxicity-sample")
