@@ -18,15 +18,15 @@ def shared_dir(spark: SparkSession) -> str:
     Where it is unset and everything runs in one process (tests, local runs), a temporary one is set, and removed at exit;
     a cluster without a shared folder is an error.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()  # the former cannot be set in a running session
     if not configured:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="sluice-")
         atexit.register(shutil.rmtree, configured, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", configured)
         spark.sparkContext.setCheckpointDir(configured)
+        return spark.sparkContext.getCheckpointDir()
     return configured
 
 
