@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sluice.operators import batching, corpus, deident, metrics, ml, readside, requests, significance, views
+from sluice.operators import batching, corpus, costs, deident, metrics, ml, readside, requests, significance, views
 from sluice.oracles import ORACLES  # noqa: F401
 from sluice.plans.predictions import CLASSIFIERS, EMBEDDINGS, KEYS, MODES, predictions
 from sluice.sources import files, shared
+from sluice.sources import vectors as vector_tables
 
 SEED = 42
 MODE_NAMES = [m for m, _, _ in MODES]
@@ -681,3 +682,50 @@ def tree_counts(spark, sf_dir):
     grid = spark.createDataFrame([(p, m) for p in (1, 2, 3, 4) for m in MODE_NAMES], "pipeline int, mode string")
     files = predictions(spark, sf_dir).select("pipeline", "mode", "emb").distinct()
     return views.tree_counts(grid, files, "pipeline", "mode")
+
+
+@query
+def usable_mails(spark, sf_dir):
+    rows = corpus.usable_mails(mails(spark, sf_dir), "text", "subject")
+    return rows.select("doc_id", F.md5("text").alias("text_md5"), F.length("subject").alias("n_subject"))
+
+
+@query
+def usable_articles(spark, sf_dir):
+    return corpus.usable_articles(docs(spark, sf_dir), "text").select("doc_id", F.md5("text").alias("text_md5"), F.length("text").alias("n"))
+
+
+@query
+def usable_questions(spark, sf_dir):
+    return corpus.usable_questions(mails(spark, sf_dir), "subject", "text", "ms_marco").select("doc_id", F.md5("subject").alias("question_md5"))
+
+
+@query
+def breakdown_columns(spark, sf_dir):
+    """The columns of documents and labels by which results can be broken down: only those that are there."""
+    rows = docs(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id")
+    return files.metadata(rows).groupBy("source", "label").agg(F.count("*").alias("n"))
+
+
+@query
+def unpaired_vectors(spark, sf_dir):
+    """Documents without a vector and vectors without a document."""
+    rows = docs(spark, sf_dir).select(F.col("doc_id").alias("row_id"))
+    return vector_tables.lacking(rows, table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id")))
+
+
+@query
+def pca_variance(spark, sf_dir):
+    return ml.pca_variance(vectors(spark, sf_dir))
+
+
+@query
+def environment(spark, sf_dir):
+    return costs.environment(spark)
+
+
+@query
+def latency_figures(spark, sf_dir):
+    """The figures of the events' own durations, as of a probe's samples."""
+    found = costs.latency(table(spark, sf_dir, "events"), "value")
+    return found.select(*[F.round(c, 6).alias(c) for c in ("mean", "p50", "p95", "p99", "least")], "n")

@@ -15,6 +15,7 @@ from sluice.sources.shared import spread
 #: Inclusive length bounds of each source.
 BOUNDS = {"ms_marco": (150, 6000), "fetaqa": (50, 8000), "cosqa": (20, 6000), "aeslc": (200, 5000), "cnn": (200, 6000)}
 PREFIX = 6000
+LEAST_SUBJECT = 3
 SEPARATOR = "\n\n---\n\n"
 
 
@@ -67,6 +68,23 @@ def usable_by_source(docs: DataFrame, source: str, text: str, bounds: dict[str,
     return docs.where(F.coalesce(usable_length(F.col(text), pair[0], pair[1]), F.lit(False)))
 
 
+def usable_mails(docs: DataFrame, body: str, subject: str) -> DataFrame:
+    """Mails with a body within its bounds and a subject of three characters or more, both stripped."""
+    subject_ok = F.coalesce(F.length(stripped(F.col(subject))) >= LEAST_SUBJECT, F.lit(False))
+    return docs.where(usable_length(F.col(body), *BOUNDS["aeslc"]) & subject_ok).withColumns({body: stripped(F.col(body)), subject: stripped(F.col(subject))})
+
+
+def usable_articles(docs: DataFrame, text: str) -> DataFrame:
+    """Articles cut to their first characters, then held against the bounds: a long one stays, cut."""
+    return docs.withColumn(text, F.substring(stripped(F.col(text)), 1, PREFIX)).where(usable_length(F.col(text), *BOUNDS["cnn"]))
+
+
+def usable_questions(docs: DataFrame, question: str, passage: str, source: str) -> DataFrame:
+    """Rows with a question and a passage that both hold more than white space, the passage within its source's bounds."""
+    asked = F.coalesce(F.length(stripped(F.col(question))) > 0, F.lit(False))
+    return docs.where(asked & usable_length(F.col(passage), *BOUNDS[source])).withColumns({question: stripped(F.col(question)), passage: stripped(F.col(passage))})
+
+
 def attack_pool(benchmark: DataFrame) -> DataFrame:
     """kind, part, category, instruction out of the benchmark table: category item_id % 8; even categories train."""
     category = F.col("item_id") % 8

@@ -62,11 +62,25 @@ def scores(model, rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     return model.transform(rows).select("row_id", F.col("label").cast("int").alias("y_true"), p.cast("float").alias("y_prob"), (p >= threshold).cast("int").alias("y_pred"))
 
 
-def pca_2d(rows: DataFrame) -> DataFrame:
-    """row_id, x, y of mean-centred vectors."""
+def _pca(rows: DataFrame):
+    """Mean-centred vectors and the model of their first two components."""
     centred = StandardScaler(withMean=True, withStd=False, inputCol="features", outputCol="c").fit(rows).transform(rows)
-    out = PCA(k=2, inputCol="c", outputCol="p").fit(centred).transform(centred).withColumn("a", vector_to_array("p"))
-    return out.select("row_id", F.round(F.col("a")[0], 6).alias("x"), F.round(F.col("a")[1], 6).alias("y"))
+    return centred, PCA(k=2, inputCol="c", outputCol="p").fit(centred)
+
+
+def pca_2d(rows: DataFrame) -> DataFrame:
+    """row_id, x, y of mean-centred vectors. Of either sign of a component the one whose largest weight by size is positive."""
+    centred, model = _pca(rows)
+    weights = model.pc.toArray()
+    sign = [1.0 if w[abs(w).argmax()] >= 0 else -1.0 for w in weights.T]
+    out = model.transform(centred).withColumn("a", vector_to_array("p"))
+    return out.select("row_id", F.round(F.col("a")[0] * sign[0], 6).alias("x"), F.round(F.col("a")[1] * sign[1], 6).alias("y"))
+
+
+def pca_variance(rows: DataFrame) -> DataFrame:
+    """component, share: the explained share of the variance of either component."""
+    shares = _pca(rows)[1].explainedVariance.toArray()
+    return rows.sparkSession.createDataFrame([(i + 1, round(float(v), 9)) for i, v in enumerate(shares)], "component int, share double")
 
 
 def hashed_embedding(rows: DataFrame, text: str, dim: int = 256) -> DataFrame:

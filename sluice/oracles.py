@@ -215,4 +215,13 @@ ORACLES |= {
       a as (select *, coalesce(list_sum(list_transform(parts[1:k], lambda p: length(p))), 0)::bigint + case when k > 0 then length(regexp_extract(parts[k + 1], '^\\s*')) else 0 end spot from k),
       o as (select doc_id, case when regexp_matches(text, '\\S') then substr(text, 1, spot) || chr(10) || instruction || chr(10) || substr(text, spot + 1) else text || chr(10) || instruction end context from a)
       select doc_id, md5(context) context_md5, length(context)::int n from o""",
+    "usable_mails": r"""with f as (select conv_id, arg_min(text, turn) subject from conversations where role = 'user' group by 1), m as (select doc_id, trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') t, trim(subject, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') s from documents left join f on conv_id = doc_id)
+      select doc_id, md5(t) text_md5, length(s)::int n_subject from m where length(t) between 200 and 5000 and length(s) >= 3""",
+    "usable_articles": r"""with m as (select doc_id, substr(trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), 1, 6000) t from documents)
+      select doc_id, md5(t) text_md5, length(t)::int n from m where length(trim(t, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')) between 200 and 6000""",
+    "usable_questions": r"""with f as (select conv_id, arg_min(text, turn) subject from conversations where role = 'user' group by 1), m as (select doc_id, trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') t, trim(subject, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') s from documents join f on conv_id = doc_id)
+      select doc_id, md5(s) question_md5 from m where length(t) between 150 and 6000 and length(s) > 0""",
+    "breakdown_columns": "select source, toxic as label, count(*) n from documents join labels using (doc_id) group by all",
+    "unpaired_vectors": "select 'no vector' side, doc_id row_id from documents where doc_id not in (select vec_id from embeddings) union all select 'no row', vec_id from embeddings where vec_id not in (select doc_id from documents)",
+    "latency_figures": "select round(avg(value), 6) mean, round(quantile_cont(value, 0.5), 6) p50, round(quantile_cont(value, 0.95), 6) p95, round(quantile_cont(value, 0.99), 6) p99, round(min(value), 6) least, count(value) n from events",
 }

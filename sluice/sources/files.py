@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: The columns by which results are broken down, and the label.
+METADATA = ("category", "attack_category", "injection_position", "source", "label")
 CORPUS = "context string, user_intent string, label int, source string"
 
 
@@ -51,6 +53,31 @@ def write_predictions(preds: DataFrame, path: str) -> None:
     preds.write.mode("overwrite").partitionBy("pipeline", "mode").parquet(path)
 
 
+def read_predictions(spark: SparkSession, path: str, pipeline: int | None = None, mode: str | None = None) -> DataFrame:
+    """Written predictions, of one pipeline and one mode if they are named: only their folders are read."""
+    rows = spark.read.parquet(path)
+    for name, value in (("pipeline", pipeline), ("mode", mode)):
+        rows = rows if value is None else rows.where(F.col(name) == value)
+    return rows
+
+
+def metadata(rows: DataFrame, wanted: tuple[str, ...] = METADATA) -> DataFrame:
+    """Those of the wanted columns that the corpus has; no other is read."""
+    return rows.select(*[c for c in wanted if c in rows.columns])
+
+
+def write_samples(samples: DataFrame, path: str, order: str, text: str = "sample") -> None:
+    """Samples for a person, numbered, in one text file. The operators cut them to a few rows before."""
+    numbered = samples.withColumn("__n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)))
+    numbered.orderBy("__n").coalesce(1).select(F.concat(F.lit("--- sample "), F.col("__n").cast("string"), F.lit(" ---\n"), F.col(text)).alias("value")).write.mode("overwrite").text(path)
+
+
+def copy_table(spark: SparkSession, source: str, target: str, kind: str = "json", parts: list[str] | None = None) -> None:
+    """A staged corpus as JSON Lines, its parts (folders below the source) one after the other."""
+    tables = [spark.read.format(kind).load(f"{source}/{p}" if p else source) for p in parts or [""]]
+    reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables).write.mode("overwrite").json(target)
+
+
 def finite(df: DataFrame) -> DataFrame:
     """NaN and infinities become null."""
     return df.select(*[F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])

@@ -33,6 +33,29 @@ def preview(spark: SparkSession, path: str, lines: int = 3, chars: int = 600) ->
     return spark.read.text(path).limit(lines).select(F.substring("value", 1, chars).alias("value"))
 
 
+def inspect(spark: SparkSession, path: str) -> DataFrame:
+    """line, value: what a person sees of a file. Three rows of JSON Lines, ten of CSV (as JSON), 4,000 characters of text; of Parquet files the
+    columns, their types and the number of rows; of any other file its size."""
+    kind = path.rsplit(".", 1)[-1].lower()
+    if kind == "jsonl":
+        rows = preview(spark, path)
+    elif kind == "csv":
+        rows = spark.read.csv(path, header=True, inferSchema=True).limit(10).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    elif kind == "parquet":
+        table = spark.read.parquet(path)
+        rows = table.agg(F.count("*").alias("n")).select(F.concat(F.lit(", ".join(f"{c} {t}" for c, t in table.dtypes) + " · "), F.col("n").cast("string"), F.lit(" rows")).alias("value"))
+    elif kind in ("json", "log", "txt", "md", "html"):
+        rows = spark.read.text(path, wholetext=True).select(F.when(F.length("value") > 4000, F.concat(F.substring("value", 1, 4000), F.lit("\n… (truncated)"))).otherwise(F.col("value")).alias("value"))
+    else:
+        rows = file_info(listing(spark, path)).select(F.format_string("%.2f MB", "size_mb").alias("value"))
+    return rows.coalesce(1).select(F.monotonically_increasing_id().alias("line"), "value")
+
+
+def file_info(files: DataFrame) -> DataFrame:
+    """A listing with size_mb, two decimals of a million bytes, and mtime in whole seconds."""
+    return files.withColumn("size_mb", F.round(F.col("size") / 1e6, 2)).withColumn("mtime", F.unix_seconds("mtime"))
+
+
 def listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """path, size and mtime of the files below a folder, without reading them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
