@@ -160,6 +160,27 @@ def test_suffix_dedup_beyond_24_bits_of_places(spark):
     assert bytes(got[2]["kept"]) == letters.encode() and [tuple(s) for s in got[3]["removed"]] == [(6, 1006)] and bytes(got[3]["kept"]) == b"later  end"
 
 
+def test_suffix_dedup_sends_little(spark, monkeypatch):
+    """Repeats shorter than a window send no text, and copies less than a third of their bytes."""
+    rng = np.random.default_rng(8)
+    letters = lambda n: rng.integers(97, 123, n, dtype=np.uint8).tobytes().decode()
+    phrases = [letters(26) for _ in range(20)]
+    short = ["".join(letters(40) + phrases[k] for k in rng.integers(0, 20, 40)) for _ in range(60)]
+    sent, write = {}, suffix_dedup.C.staged
+
+    def staged(df, tag):
+        out = write(df, tag)
+        sent[tag] = out.agg(F.sum(sum(F.octet_length(c) for c in "abcd"))).first()[0] or 0
+        return out
+
+    monkeypatch.setattr(suffix_dedup.C, "staged", staged)
+    run = lambda texts: suffix_dedup.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bucket_bytes=40_000).collect()
+    assert not any(r["removed"] for r in run(short)) and sent["passage-grams"] > 0 and sent["passage-regions"] == 0
+    texts = [letters(20_000)] * 12
+    rows = {r["doc_id"]: [tuple(s) for s in r["removed"]] for r in run(texts)}
+    assert rows == {i: [(0, 20_000)] if i else [] for i in range(12)} and sum(sent.values()) < 12 * 20_000 / 30
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((150, 16))
